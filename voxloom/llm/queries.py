@@ -15,5 +15,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return look_same.found(table(spark, d, "annotations"), table(spark, d, "utterances"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import terms
+
+    return terms.verdicts(terms.term_report(table(spark, d, "parsed")))
+
+
+def p2_term_report(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import terms
+
+    return terms.term_report(table(spark, d, "parsed"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import terms
+
+    return terms.found_distinctive(terms.distinctive_terms(table(spark, d, "parsed")))
+
+
+def p6_term_scores(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import terms
+
+    return terms.distinctive_terms(table(spark, d, "parsed"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p6_found, p6_term_scores)}
 SQL: dict[str, str] = {}
