@@ -27,6 +27,18 @@ def p2_term_report(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_report(table(spark, d, "parsed"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import repetition
+
+    return repetition.found(p5_repetition(spark, d))
+
+
+def p5_repetition(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import repetition
+
+    return repetition.repetition_report(repetition.corpus_texts(table(spark, d, "transcripts"), table(spark, d, "versions")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import terms
 
@@ -39,5 +51,5 @@ def p6_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.distinctive_terms(table(spark, d, "parsed"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p6_found, p6_term_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p5_found, p5_repetition, p6_found, p6_term_scores)}
 SQL: dict[str, str] = {}
