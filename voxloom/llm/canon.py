@@ -144,7 +144,7 @@ def transducer(look_alikes: bool = True) -> Transducer:
 @F.pandas_udf(T.StringType())
 def _seen(texts: pd.Series) -> pd.Series:
     run = transducer(True)
-    return texts.map(lambda t: run(t) if isinstance(t, str) else None)
+    return pd.Series([run(t) if isinstance(t, str) else None for t in texts], dtype=object)
 
 
 def as_seen(text: Column | str) -> Column:

@@ -27,6 +27,18 @@ def p2_term_report(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_report(table(spark, d, "parsed"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import turns
+
+    return turns.found(turns.speaker_turns(table(spark, d, "transcripts"), table(spark, d, "rosters"), only_rostered=True))
+
+
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import turns
+
+    return turns.speaker_turns(table(spark, d, "transcripts"), table(spark, d, "rosters"), split_pauses=True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import repetition
 
@@ -51,5 +63,17 @@ def p6_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.distinctive_terms(table(spark, d, "parsed"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p5_found, p5_repetition, p6_found, p6_term_scores)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import leaks
+
+    return leaks.found(p8_leaks(spark, d))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import leaks
+
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.functions import frames
 from voxloom.functions.heavy import heavy_split_join
 from voxloom.llm import units
 from voxloom.plans.shared import materialize
@@ -54,7 +55,7 @@ def repeated_units(text: str | None, run_words: int = RUN_WORDS, run_letters: in
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         both = [repeated_units(t if isinstance(t, str) else None) for t in batch["text"]]
-        yield pd.DataFrame({"kind": batch["kind"], "item_id": batch["item_id"], "host": batch["host"], "words": [a for a, _ in both], "repeated": [b for _, b in both]})
+        yield frames.columns(kind=batch["kind"], item_id=batch["item_id"], host=[h if isinstance(h, str) else None for h in batch["host"]], words=[a for a, _ in both], repeated=[b for _, b in both])
 
 
 def measure(texts: DataFrame) -> DataFrame:

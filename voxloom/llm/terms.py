@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.functions import frames
 from voxloom.functions.heavy import heavy_split_join
 from voxloom.llm.canon import transducer
 from voxloom.plans.shared import materialize
@@ -47,7 +48,7 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     term = known[word] = term_of(word)
                 if term:
                     counts[term, record] += 1
-        yield pd.DataFrame([(t, r, n) for (t, r), n in counts.items()], columns=["term", "recording_id", "n"])
+        yield frames.frame(["term", "recording_id", "n"], [(t, r, n) for (t, r), n in counts.items()])
 
 
 def term_pairs(parsed: DataFrame) -> DataFrame:
@@ -73,9 +74,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         elif term is not None:
             terms, sums, recs = [term, *terms], [total, *sums], [records, *recs]
         term, total, records, record = terms.pop(), sums.pop(), recs.pop(), batch["recording_id"].iloc[-1]
-        yield pd.DataFrame({"term": terms, "n": sums, "r": recs})
+        yield frames.columns(term=terms, n=sums, r=recs)
     if term is not None:
-        yield pd.DataFrame({"term": [term], "n": [total], "r": [records]})
+        yield frames.columns(term=[term], n=[total], r=[records])
 
 
 def term_frequencies(pairs: DataFrame) -> DataFrame:
