@@ -27,6 +27,22 @@ def p2_term_report(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_report(table(spark, d, "parsed"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_languages(spark, d).select("scope", "item_id", "seg_no", "lang")
+
+
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import language
+
+    return language.language_report(*(table(spark, d, t) for t in ("transcripts", "documents", "recordings", "speakers")))
+
+
+def p3_document_languages(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import language
+
+    return language.document_languages(table(spark, d, "documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import turns
 
@@ -75,5 +91,5 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p8_found, p8_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
