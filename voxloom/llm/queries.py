@@ -79,6 +79,12 @@ def p6_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.distinctive_terms(table(spark, d, "parsed"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import sentences
+
+    return sentences.sentence_spans(table(spark, d, "utterances"), table(spark, d, "versions"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import leaks
 
@@ -91,5 +97,5 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p8_found, p8_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
