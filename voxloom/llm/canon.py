@@ -93,9 +93,11 @@ class Transducer:
             for ch in source:
                 node = node.setdefault(ch, {})
             node[""] = target
-        extenders = [chr(cp) for cp in _assigned() if unicodedata.category(chr(cp))[0] == "M" or _is_invisible(chr(cp))]
+        # Only code points below 0x10000 and two ranges above: a class with many single code points above is searched one by
+        # one for every character. Other marks there begin a cluster of their own.
+        extenders = [chr(cp) for cp in range(0x20, 0x10000) if unicodedata.category(chr(cp))[0] == "M" or _is_invisible(chr(cp))]
         extenders += [chr(cp) for cp in range(0x1160, 0x1200)] + ["ﾞ", "ﾟ"]
-        inside = "".join(map(re.escape, extenders))
+        inside = "".join(map(re.escape, extenders)) + "\U000E0000-\U000E007F\U000E0100-\U000E01EF"
         self.clusters = re.compile(f"[^{inside}][{inside}]*|[{inside}]+").findall
         self.changed_ascii = {ord(s) for s in table if len(s) == 1 and s.isascii()}
         self.touched = re.compile("[" + "".join(map(re.escape, sorted(s for s in table if s.isascii() and len(s) == 1))) + "]").search if self.changed_ascii else (lambda _: None)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.canon import as_seen
+from voxloom.plans.shared import materialize
 
 
 def same_looking_texts(utterances: DataFrame) -> DataFrame:
@@ -15,11 +16,12 @@ def same_looking_texts(utterances: DataFrame) -> DataFrame:
     removed by an aggregate before the pairs are joined, so repeated identical remarks never meet each other.
     Null texts, null recordings and texts that are invisible altogether give no pair; a row delivered twice counts once.
     """
-    keyed = (
+    keyed = materialize(
         utterances.select("utt_id", "recording_id", "text", as_seen("text").alias("_seen"))
         .where("recording_id is not null and _seen is not null and _seen <> ''")
         .select("utt_id", "recording_id", F.xxhash64("_seen").alias("_k1"), F.xxhash64("_seen", F.lit(1)).alias("_k2"), F.xxhash64("text").alias("_raw"))
-        .distinct()
+        .distinct(),
+        "seen-keys",
     )
     group = ["recording_id", "_k1", "_k2"]
     mixed = keyed.groupBy(*group).agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).where("_lo <> _hi").select(*group)
@@ -35,13 +37,12 @@ def quotes_found_as_seen(annotations: DataFrame, utterances: DataFrame) -> DataF
     Utterances are those of the annotation's recording whose index is listed. Null or empty quotes, texts and lists give
     no row; repeated list entries and redelivered utterances give one.
     """
-    asked = (
-        annotations.select("annotation_id", "recording_id", F.explode(F.array_distinct("utterances")).alias("index"), "quote", as_seen("quote").alias("_quote"))
-        .where("_quote is not null and _quote <> ''")
-    )
-    texts = utterances.select("utt_id", "recording_id", "index", "text", as_seen("text").alias("_text")).where("text is not null")
-    hits = asked.join(texts, ["recording_id", "index"]).where(F.col("_text").contains(F.col("_quote")) & ~F.col("text").contains(F.col("quote")))
-    return hits.select("annotation_id", "utt_id").distinct()
+    asked = annotations.where("quote <> ''").select("annotation_id", "recording_id", F.explode(F.array_distinct("utterances")).alias("index"), "quote")
+    texts = utterances.where("text is not null").select("utt_id", "recording_id", "index", "text")
+    # Only pairs whose stored forms do not settle the question are brought to the seen form.
+    unlike = asked.join(texts, ["recording_id", "index"]).where(~F.col("text").contains(F.col("quote")))
+    seen = unlike.select("annotation_id", "utt_id", as_seen("quote").alias("_quote"), as_seen("text").alias("_text"))
+    return seen.where((F.col("_quote") != "") & F.col("_text").contains(F.col("_quote"))).select("annotation_id", "utt_id").distinct()
 
 
 def consistent_text(df: DataFrame, column: str, to: str | None = None) -> DataFrame:

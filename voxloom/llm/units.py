@@ -25,7 +25,8 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 
 @cache
 def word_finder():
-    marks = "".join(re.escape(chr(cp)) for cp in range(0x300, TOP) if unicodedata.category(chr(cp))[0] == "M")
+    # Marks above 0x10000 are left out: they would be compared one by one for every character.
+    marks = "".join(re.escape(chr(cp)) for cp in range(0x300, 0x10000) if unicodedata.category(chr(cp))[0] == "M")
     part = f"[\\w{marks}]+"
     return re.compile(f"{part}(?:[{APOSTROPHES}]{part})*").findall
 
