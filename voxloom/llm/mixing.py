@@ -5,8 +5,12 @@ source's budget is met by whole rounds over the source and, for the rest, by the
 which the running sum passes the budget is found on the histogram, then only its rows are counted again in finer buckets, twice.
 Documents are chosen by a filter; nothing is sorted, and thresholds for smaller budgets are nested in those for larger ones.
 
-The budget is met to the nearest document. The total is the largest for which every source that has documents can supply its share within its repeats, unless it is
-given. Defined results: documents without id, text or tokens and documents of sources without target are left out; targets
+The budget is met to the nearest document.
+
+The total is that of all documents of targeted sources unless it is given. A source that cannot supply its share within its
+repeats supplies all it may, and the others share what is missing in proportion to their targets; the report has the shares
+reached. With ``exact_shares`` the total is the largest for which every source that has documents can supply its share: one very
+small source then keeps the whole mixture small. Defined results: documents without id, text or tokens and documents of sources without target are left out; targets
 without documents get nothing and are reported with share 0, the other shares being in proportion to their targets; repeated
 rows of a doc_id count once.
 """
@@ -32,7 +36,22 @@ def weighed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     return once.where("tokens > 0").withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 64 - BITS * LEVELS))
 
 
-def plan(weights: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
+def fill(rows: list[dict], total_tokens: float) -> None:
+    """Budgets in proportion to the shares; what a source cannot supply within its repeats goes to the others in proportion."""
+    free = [r for r in rows if r["available"]]
+    left = total_tokens
+    for r in rows:
+        r["budget"] = 0
+    while free:
+        scale = left / sum(r["share"] for r in free)
+        full = [r for r in free if r["repeats"] * r["available"] <= scale * r["share"]]
+        for r in full or free:
+            r["budget"] = int(min(round(scale * r["share"]), r["repeats"] * r["available"]))
+            left -= r["budget"]
+        free = [r for r in free if r not in full] if full else []
+
+
+def plan(weights: DataFrame, targets: DataFrame, total_tokens: int | None = None, exact_shares: bool = False) -> list[dict]:
     """One dict a target: source, share, repeats, available, budget, rounds, threshold."""
     stated = [r.asDict() for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").limit(MOST_SOURCES + 1).collect()]
     if len(stated) > MOST_SOURCES:
@@ -40,10 +59,12 @@ def plan(weights: DataFrame, targets: DataFrame, total_tokens: int | None = None
     have = {r["source"]: r["tokens"] for r in weights.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     supplied = sum(t["target_share"] for t in stated if have.get(t["source"]))
     rows = [dict(source=t["source"], share=t["target_share"], repeats=t["max_repeats"], available=have.get(t["source"], 0)) for t in stated]
-    if total_tokens is None:
+    if exact_shares:
         total_tokens = min((r["repeats"] * r["available"] * supplied / r["share"] for r in rows if r["available"]), default=0)
+    elif total_tokens is None:
+        total_tokens = sum(r["available"] for r in rows)
+    fill(rows, total_tokens)
     for r in rows:
-        r["budget"] = int(min(r["share"] / supplied * total_tokens, r["repeats"] * r["available"])) if r["available"] else 0
         r["rounds"] = r["budget"] // r["available"] if r["available"] else 0
         r["rest"] = r["budget"] - r["rounds"] * r["available"]
         r["threshold"] = 0
@@ -71,10 +92,10 @@ def plan(weights: DataFrame, targets: DataFrame, total_tokens: int | None = None
     return rows
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, exact_shares: bool = False, tokenizer: str = TOKENIZER, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(chosen, report): (doc_id, source, tokens, copies), and by target the shares reached."""
     weights = materialize(weighed(documents, targets, tokenizer, seed), "weights")
-    rows = plan(weights, targets, total_tokens)
+    rows = plan(weights, targets, total_tokens, exact_shares)
     spark = weights.sparkSession
     schema = "source string, target_share double, max_repeats int, available_tokens long, budget_tokens long, rounds long, threshold long"
     budgets = spark.createDataFrame([(r["source"], r["share"], r["repeats"], r["available"], r["budget"], r["rounds"], r["threshold"]) for r in rows], schema)

@@ -109,11 +109,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import mixing
+
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "source_targets"), exact_shares=True)[1]
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import pieces
 
     return pieces.split_oversized(table(spark, d, "documents"), table(spark, d, "size_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p8_found, p8_leaks, p9_mix, p9_shares, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p8_found, p8_leaks, p9_mix, p9_shares, p9_exact_shares, p10_pieces)}
 SQL: dict[str, str] = {}
