@@ -54,7 +54,7 @@ def utterances_from_words(words: DataFrame, pause_s: float = PAUSE_S, long_run:
         text = X.space_marks(F.array_join(F.transform(w, lambda x: x["word"]), " "), F.col("french"))
         return F.struct(F.get(w, F.lit(0))["start"].alias("start"), F.get(w, F.size(w) - 1)["end"].alias("end"), text.alias("text"), b["why"].alias("split"))
 
-    broken = words.where(n > 0).withColumn("breaks", F.aggregate(F.sequence(F.lit(0), n - 1), init, step)["out"])
+    broken = words.where(n > 0).withColumn("breaks", F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), init, step)["out"])
     made = broken.withColumn("us", F.filter(F.transform("breaks", utterance), lambda u: u["text"].rlike(r"(?U)\w")))
     return made.select("recording_id", F.posexplode("us").alias("index", "u")).select("recording_id", "index", "u.start", "u.end", "u.text", "u.split")
 
@@ -86,7 +86,7 @@ def _windows(words_column: Column, most: int) -> Column:
         more = F.array_append(acc["out"], F.struct(acc["begin"].alias("begin"), (k + 1).alias("end"), total.alias("words")))
         return F.struct(F.when(full, k + 1).otherwise(acc["begin"]).alias("begin"), F.when(full, F.lit(0).cast("long")).otherwise(total).alias("n"), F.when(full, more).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), size - 1), init, step)["out"]
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), init, step)["out"]
 
 
 def _by_recording(utts: DataFrame) -> DataFrame:
