@@ -124,6 +124,24 @@ def agg21_markers_fr(s, d):
     return discourse.marker_rates(discourse.marker_counts_by_recording(_utts(s, d, "fr"), "fr"), lexical.totals(_words(s, d, "fr"))).drop("ord")
 
 
+def _plain(rates, lang):
+    from voxloom.functions.lexicon import LEXICONS, markers
+
+    listed = [(c, label) for c, label, form in markers(LEXICONS[lang]) if not set("^{|\\") & set(form)]
+    return rates.join(F.broadcast(rates.sparkSession.createDataFrame(listed, "category string, marker string")), ["category", "marker"], "left_semi")
+
+
+@query
+def agg21_plain_markers_en(s, d):
+    """The markers that SQL can count too."""
+    return _plain(agg21_markers_en(s, d), "en")
+
+
+@query
+def agg21_plain_markers_fr(s, d):
+    return _plain(agg21_markers_fr(s, d), "fr")
+
+
 @query
 def agg21_marker_examples(s, d):
     return discourse.marker_examples(_utts(s, d, "en"), "en").select("speaker_id", "marker", "pick", "recording_id", "index", "text")
