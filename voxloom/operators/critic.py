@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
 from voxloom.functions.lexicon import LEXICONS
+from voxloom.plans.shared import materialize
 
 LEAST_WORDS_FOR_ABSENCE = 2000
 METRICS = "words recordings median long_share cv fragment_share negations share_full address_count address_per_1k preferences markers".split()
@@ -22,12 +23,13 @@ def profile(utts: DataFrame, words: DataFrame, tagged_rows: DataFrame, lang: str
     """A profile frame for the subjects in ``speaker_id`` of the given frames."""
     from voxloom.operators import discourse, lexical, register, rhythm, syntax
 
-    sizes = lexical.totals(words)
+    utts, words = materialize(utts, "utts"), materialize(words, "words")  # every group of measures reads them again
+    sizes = materialize(lexical.totals(words), "totals")
     lengths = rhythm.length_stats(words).select("speaker_id", "median", "long_share", "cv")
     grammar = syntax.syntax_profile(tagged_rows).select("speaker_id", "fragment_share", "negations", "share_full")
     address = register.address_rate(utts, sizes, lang).select("speaker_id", F.col("count").alias("address_count"), F.col("per_1k").alias("address_per_1k"))
     prefs = register.preference_counts(utts, lang).groupBy("speaker_id").agg(F.array_sort(F.collect_list(F.struct("ord", "use", "avoid", "use_count", "avoid_count"))).alias("preferences"))
-    rates = discourse.marker_rates(discourse.marker_counts_by_recording(utts, lang), sizes)
+    rates = materialize(discourse.marker_rates(discourse.marker_counts_by_recording(utts, lang), sizes), "rates")
     absent = discourse.absent_markers(rates, sizes, lang).select("speaker_id", "category", "marker", "ord", F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("per_1k"), F.lit(0).cast("long").alias("recordings"))
     marks = rates.unionByName(absent).groupBy("speaker_id").agg(F.array_sort(F.collect_list(F.struct("ord", "category", "marker", "count", "per_1k", "recordings"))).alias("markers"))
     out = sizes.select("speaker_id", "words", "recordings")
@@ -111,5 +113,6 @@ def draft_profiles(drafts: DataFrame, lang: str, draft_id: str, tagger=None) ->
     parts = segment.utterances_from_text(drafts, draft_id, F.lit(LEXICONS[lang].space_before_marks))
     utts = parts.select(F.col(draft_id).alias("speaker_id"), F.col(draft_id).alias("recording_id"), F.col("index").cast("long").alias("utt_id"), F.col("index").cast("int").alias("index"), "text", X.norm(F.col("text")).alias("norm"))
     tagged = annotate.annotate(utts, lang, tagger or annotate.RuleTagger)
+    tagged = materialize(tagged, "tagged")
     words = syntax.token_rows(tagged).select("speaker_id", "recording_id", "utt_id", F.col("pos_i").alias("pos"), "w")
     return profile(utts, words, syntax.syntax_rows(tagged, lang), lang, by=draft_id)

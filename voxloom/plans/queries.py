@@ -311,3 +311,28 @@ def cr_style_issues(s, d):
 def agg31_style_scores(s, d):
     versions = table(s, d, "versions").select("version_id", "generation_id", "speaker_id", "version_no", "text")
     return critic.scores(cr_style_issues(s, d), versions, "version_id")
+
+
+@query
+def card_style_cards(s, d):
+    """Style cards of all English speakers (CARD1-CARD10)."""
+    from voxloom.operators import documents
+    from voxloom.plans.documents import measured
+
+    return documents.style_cards(measured(_utts(s, d, "en"), _words(s, d, "en"), _parsed_once(s, d), _items(s, d), "en"), "en")
+
+
+@query
+def snk11_reports(s, d):
+    from voxloom.operators import documents
+    from voxloom.plans.documents import measured
+
+    return documents.reports(measured(_utts(s, d, "en"), _words(s, d, "en"), _parsed_once(s, d), _items(s, d), "en"), "en")
+
+
+@query
+def src11_flat_transcripts(s, d):
+    """The stored transcripts through the normal form of recogniser output; whole texts must come out again."""
+    from voxloom.sources.store import flatten_transcript
+
+    return flatten_transcript(table(s, d, "transcripts").where("segments is not null")).select("recording_id", "text").distinct()
