@@ -74,6 +74,8 @@ def rules(look_alikes: bool = True) -> dict[str, str]:
             flat = unicodedata.normalize("NFKD", ch) if how.startswith(("<wide>", "<narrow>")) else unicodedata.normalize("NFD", ch)
             if how.startswith("<") and _letters_only(unicodedata.normalize("NFKC", ch)):
                 flat = unicodedata.normalize("NFKD", ch)
+            if ch in alike:
+                flat = ch  # drawn like a letter although its compatibility form is another one
             mapped = "".join("'" if c in APOSTROPHES else alike.get(c, c) for c in flat)
             target = unicodedata.normalize("NFC", mapped)
             if target != ch:
@@ -135,7 +137,7 @@ class Transducer:
                     memo.clear()
                 done = memo[part] = self.cluster(part)
             out.append(done)
-        return "".join(out)
+        return unicodedata.normalize("NFC", "".join(out))  # joins what the clusters leave apart: marks above 0x10000
 
 
 @cache

@@ -113,9 +113,9 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = N
 
 
 def copies_as_rows(chosen: DataFrame, documents: DataFrame) -> DataFrame:
-    """The mixture itself: the chosen documents, one row a copy."""
-    once = documents.join(chosen.select("doc_id", "copies"), "doc_id")
-    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    """The mixture itself: the chosen documents with all their columns, one row a copy, numbered in ``_mix_copy``."""
+    once = documents.join(chosen.select("doc_id", F.col("copies").alias("_mix_copies")), "doc_id")
+    return once.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).drop("_mix_copies")
 
 
 __all__ = ["copies_as_rows", "mixed", "plan", "weighed"]

@@ -24,6 +24,7 @@ from voxloom.llm.speech import Labels, clean, has_content, invented
 LEAST_OVERLAP = 3
 LEAST_PAUSE_S = 1.0
 PAUSE_SPREAD = 5.0
+KEPT_WORDS = 400  # what a caption can repeat
 TURNS = "recording_id string, turn_no int, voice_no int, start_ms long, end_ms long, segments int, text string"
 
 
@@ -82,7 +83,9 @@ def turns_of(starts, ends, texts, logprobs, nospeech, voices: list[tuple[int, st
             if not full or (voice is None and voices):
                 continue
             words = clean(part).split()
-            fresh = words[overlap(said, [w.lower() for w in words]) :]
+            keys = [_key(w) for w in words]
+            again = overlap(said, keys)
+            fresh, keys = words[again:], keys[again:]
             if out and out[-1][0] == voice and not paused:
                 out[-1][2] = end if end is not None else out[-1][2]
                 out[-1][3] += 1
@@ -90,12 +93,16 @@ def turns_of(starts, ends, texts, logprobs, nospeech, voices: list[tuple[int, st
             else:
                 out.append([voice, start, end, 1, words])
             paused = False
-            said = (said + [w.lower() for w in fresh])[-400:]
+            said = (said + keys)[-KEPT_WORDS:]
         ended = end if end is not None else ended
     ms = lambda s: None if s is None else int(round(s * 1000))
     return [(v, ms(a), ms(b), n, " ".join(w)) for v, a, b, n, w in out]
 
 
+def _key(word: str) -> str:
+    return "".join(c for c in word.lower() if c.isalnum()) or word
+
+
 def _none(x):
     return None if x is None or x != x else x
 
