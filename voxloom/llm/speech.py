@@ -14,7 +14,7 @@ NOTE = re.compile(r"\[[^\[\]]{1,60}\]|\(\([^()]{1,60}\)\)|\([^()]{1,60}\)|<[^<>]
 # Hesitations of the eleven languages.
 HESITATIONS = frozenset(
     "uh uhh uhm um umm er erm hmm hm hmmm mm mmm mhm ah eh euh heu hum bah em ehm ähm äh öh öhm hã hã ã э эм э-э хм гм мм ммм эээ "
-    "呃 嗯 唔 額 啊 うーん えーと えっと ええと あのー えー あー हम्म उम्म अं ऊं हूँ เอ่อ อืม อืมม เอิ่ม".split()
+    "呃 嗯 唔 額 啊 うーん えーと えっと ええと あのー えー あー हम्म उम्म उम अं ऊं हूँ เอ่อ อืม อืมม เอิ่ม".split()
 )
 NO_SPEECH, LOW_LOGPROB = 0.8, -1.0
 _SPOKEN = "|".join(sorted((re.escape(h) for h in HESITATIONS), key=len, reverse=True))
