@@ -161,6 +161,13 @@ def test_sentences_cover_all_text(tagger_text):
     assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_lost_marks_are_split_on_request_only(spark, tagger):
+    loop = "The choir forgot the bridge before lunch " * 3
+    assert len(tagger.sentences(loop)) == 1
+    other = sentences.tagger_for(spark.read.parquet(f"{DATA}/versions.parquet"), lost_marks=True)
+    assert len(other.sentences(loop)) == 3
+
+
 def test_sentence_spans(spark):
     u = spark.createDataFrame([(1, "One. Two.", NOW, "k"), (1, "One. Two.", LATER, "k"), (2, None, NOW, "k"), (3, "", NOW, "k")], "utt_id long, text string, loaded_at timestamp_ntz, kind string")
     v = spark.createDataFrame([("v1", "Hi there.\nBye.", 1), ("v2", None, 1)], "version_id string, text string, start_pos int")

@@ -85,6 +85,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_spans(table(spark, d, "utterances"), table(spark, d, "versions"))
 
 
+def p7_lost_marks(spark: SparkSession, d: str) -> DataFrame:
+    from voxloom.llm import sentences
+
+    return sentences.sentence_spans(table(spark, d, "utterances"), table(spark, d, "versions"), lost_marks=True)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import leaks
 
@@ -121,5 +127,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "documents"), table(spark, d, "size_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p8_found, p8_leaks, p9_mix, p9_shares, p9_exact_shares, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p7_lost_marks, p8_found, p8_leaks, p9_mix, p9_shares, p9_exact_shares, p10_pieces)}
 SQL: dict[str, str] = {}
