@@ -151,3 +151,28 @@ def _quote(label: str) -> str:
 
 SQL["agg21_plain_markers_en"] = _marker_sql(ENGLISH.code)
 SQL["agg21_plain_markers_fr"] = _marker_sql(FRENCH.code)
+
+_FAMILIAR = " UNION ALL ".join(f"SELECT speaker_id, '{_quote(x)}' AS word, {_standalone_count('norm', [x])} AS n FROM e" for x in ENGLISH.familiar)
+SQL["agg28_familiar_words"] = f"""WITH {_U}, {_lang("en")}, {_W}, e AS (SELECT * FROM u SEMI JOIN l USING (recording_id)), z AS (SELECT speaker_id, count(*) AS words FROM w SEMI JOIN l USING (recording_id) GROUP BY 1), m AS ({_FAMILIAR})
+SELECT speaker_id, word, CAST(sum(n) AS BIGINT) AS count, round(1000.0::DOUBLE * sum(n) / max(words), 2) AS per_1k FROM m JOIN z USING (speaker_id) WHERE n > 0 GROUP BY 1, 2"""
+SQL["fn1_slugs"] = """SELECT id, coalesce(nullif(rtrim(left(trim(regexp_replace(lower(regexp_replace(strip_accents(coalesce(title, '')), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-'), ''), 'recording') AS slug FROM recordings"""
+SQL["src11_flat_transcripts"] = """SELECT DISTINCT recording_id, array_to_string(list_filter(list_transform(segments, lambda s: trim(s.text, ' ')), lambda t: t <> ''), ' ') AS text FROM transcripts WHERE segments IS NOT NULL"""
+_COUNTED = "len(list_filter(regexp_split_to_array(text, '[\\s\\x{0b}\\x{85}\\p{Z}]+'), lambda x: x <> ''))"
+_WINDOWS = """o AS (SELECT recording_id, "index" AS i, text, {count} AS words, row_number() OVER (PARTITION BY recording_id ORDER BY "index") AS rn FROM u),
+r AS (SELECT recording_id, rn, 0 AS k, words AS n FROM o WHERE rn = 1 UNION ALL SELECT o.recording_id, o.rn, CASE WHEN r.n >= {most} THEN r.k + 1 ELSE r.k END, CASE WHEN r.n >= {most} THEN o.words ELSE r.n + o.words END FROM r JOIN o ON o.recording_id = r.recording_id AND o.rn = r.rn + 1)"""
+SQL["seg6_chunks"] = f"""WITH RECURSIVE {_U}, {_WINDOWS.format(count=_COUNTED, most=350)}
+SELECT recording_id, k AS number, left(sha256(string_agg(text, chr(10) ORDER BY rn)), 16) AS key, min(i) AS first_index, max(i) AS last_index, CAST(sum(words) AS BIGINT) AS words, CAST(least(3, min(rn) - 1) AS INTEGER) AS context_lines FROM r JOIN o USING (recording_id, rn) GROUP BY 1, 2"""
+SQL["seg8_passages"] = f"""WITH RECURSIVE {_U}, {_WINDOWS.format(count=_COUNTED, most=130)},
+g AS (SELECT recording_id, k, sum(words) AS w, min(i) AS a, max(i) AS b FROM r JOIN o USING (recording_id, rn) GROUP BY 1, 2), t AS (SELECT *, max(k) OVER (PARTITION BY recording_id) AS last FROM g),
+m AS (SELECT recording_id, CASE WHEN k = last AND k > 0 AND w < 65 THEN k - 1 ELSE k END AS k, w, a, b FROM t), f AS (SELECT recording_id, k, sum(w) AS words, min(a) AS a, max(b) AS b FROM m GROUP BY 1, 2)
+SELECT recording_id, k AS "window", CASE WHEN k = 0 THEN 'opening' WHEN k = max(k) OVER (PARTITION BY recording_id) THEN 'closing' ELSE 'middle' END AS role, a AS first_index, b AS last_index, CAST(words AS BIGINT) AS words FROM f"""
+_TEXT = "regexp_replace(regexp_replace(regexp_replace(joined, '{ws}+([''’-])', '\\1', 'g'), '([''’]){ws}+', '\\1', 'g'), '{ws}+([,.;:…])', '\\1', 'g')".replace("{ws}", _WS)
+SQL["seg1_pause_utterances"] = f"""WITH RECURSIVE t AS (SELECT recording_id, segments, coalesce(lower(trim(language)) IN ('fr','french','français','fra','fre') OR regexp_split_to_array(lower(trim(language)), '[-_ ]')[1] IN ('fr','french','français','fra','fre'), false) AS french FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY created_at DESC, loaded_at DESC) AS d FROM transcripts WHERE segments IS NOT NULL) WHERE d = 1),
+s AS (SELECT recording_id, unnest(segments) AS s, generate_subscripts(segments, 1) AS i FROM t), x AS (SELECT recording_id, i, unnest(s.words) AS w, generate_subscripts(s.words, 1) AS j FROM s WHERE NOT coalesce(s.no_speech_prob > 0.8 AND s.avg_logprob < -1.0, false)),
+k0 AS (SELECT recording_id, w.word AS word, w."start" AS a, w."end" AS b, row_number() OVER (PARTITION BY recording_id ORDER BY i, j) AS pos FROM x WHERE w.word <> '' AND w.word <> '...'),
+k AS MATERIALIZED (SELECT *, lead(a) OVER (PARTITION BY recording_id ORDER BY pos) - b AS gap, lead(pos) OVER (PARTITION BY recording_id ORDER BY pos) IS NULL AS last, right(word, 1) IN ('.', '?', '!', '…') AS fin FROM k0),
+r AS (SELECT recording_id, pos, 1 AS run, 0 AS u, CASE WHEN fin THEN 'punct' WHEN gap > 0.5 THEN 'pause' WHEN last THEN 'end' END AS why FROM k WHERE pos = 1
+UNION ALL SELECT k.recording_id, k.pos, CASE WHEN r.why IS NULL THEN r.run + 1 ELSE 1 END, CASE WHEN r.why IS NULL THEN r.u ELSE r.u + 1 END, CASE WHEN k.fin THEN 'punct' WHEN k.gap > 0.5 OR ((CASE WHEN r.why IS NULL THEN r.run + 1 ELSE 1 END) >= 20 AND k.gap > 0.2) THEN 'pause' WHEN k.last THEN 'end' END FROM r JOIN k ON k.recording_id = r.recording_id AND k.pos = r.pos + 1),
+g AS (SELECT recording_id, u, string_agg(word, ' ' ORDER BY pos) AS joined, arg_min(struct_pack(v := a), pos).v AS "start", arg_max(struct_pack(v := b), pos).v AS "end", max(why) AS split FROM r JOIN k USING (recording_id, pos) GROUP BY 1, 2),
+f AS (SELECT recording_id, u, "start", "end", split, trim(regexp_replace(CASE WHEN french THEN regexp_replace({_TEXT}, '{_WS}*([?!])', ' \\1', 'g') ELSE regexp_replace({_TEXT}, '{_WS}+([?!])', '\\1', 'g') END, '{_WS}+', ' ', 'g')) AS text FROM g JOIN t USING (recording_id))
+SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY u) - 1 AS INTEGER) AS "index", "start", "end", text, split FROM f WHERE regexp_matches(text, '{_WORDY}')"""
