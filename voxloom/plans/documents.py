@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
-from voxloom.plans.shared import materialize
 from voxloom.operators import annotate, critic, discourse, lexical, register, rhetoric, rhythm, syntax
+from voxloom.plans.shared import materialize
 
 
 def measured(utts: DataFrame, words: DataFrame, parsed_once: DataFrame, annotations: DataFrame, lang: str, tagger=None) -> dict[str, DataFrame]:
@@ -20,9 +20,10 @@ def measured(utts: DataFrame, words: DataFrame, parsed_once: DataFrame, annotati
     kept = rhetoric.verify(annotations, utts).where("kept").join(annotations.select("annotation_id", "speaker_id"), "annotation_id")
     profile = critic.profile(utts, words, rows, lang).drop("preferences", "markers")
     profile = profile.join(rhythm.length_stats(words).select("speaker_id", "short_share"), "speaker_id").join(lexical.mattr(words).select("speaker_id", "mattr"), "speaker_id")
-    return {
+    frames = {
         "profile": profile, "preferences": register.preference_counts(utts, lang), "pronouns": lexical.pronouns(words, base, lang), "bigrams": rhythm.top_starts(words, bigrams=True),
         "imperatives": syntax.imperative_verbs(rows), "markers": rates, "absent": discourse.absent_markers(rates, sizes, lang), "familiar": register.familiar_words(register.familiar_matches(utts, lang), sizes),
         "phrases": discourse.signature_phrases(discourse.utterance_words(parsed_once)).join(sizes.select("speaker_id"), "speaker_id", "left_semi"), "devices": rhetoric.device_summary(kept, spoken, ["speaker_id"]),
         "distinctive": lexical.distinctive(lexical.against_baseline(words, base)),
     }
+    return {name: materialize(df, name) for name, df in frames.items()}  # documents read each several times; all are small
