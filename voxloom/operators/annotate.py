@@ -46,8 +46,11 @@ BASE_VERBS = set("look grab take make put go come see say get tell keep leave le
 
 
 class RuleTagger:
+    def __init__(self):
+        self.closed = {lang: {w: pos for pos, ws in reversed(kinds.items()) for w in ws.split()} for lang, kinds in CLOSED.items()}
+
     def __call__(self, text: str, lang: str) -> list[dict]:
-        closed = {w: pos for pos, ws in reversed(CLOSED[lang].items()) for w in ws.split()}
+        closed = self.closed[lang]
         out: list[dict] = []
         for m in SPLIT[lang].finditer(text):
             raw = m.group()

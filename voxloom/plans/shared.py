@@ -49,3 +49,14 @@ def _clean() -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the JVM is already gone
             return
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan that feeds Python work, on all cores: repartitioned where its files give fewer partitions than there are cores.
+
+    Only for plans without a shuffle. An input that small costs next to nothing to move; a larger one is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
