@@ -26,7 +26,7 @@ from voxloom.llm import units
 from voxloom.llm.canon import transducer
 from voxloom.llm.charlm import Models
 from voxloom.llm.speech import ANY_LABEL, has_content, invented, without_marks
-from voxloom.plans.shared import materialize
+from voxloom.plans.shared import materialize, spread_out
 
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 120_000
@@ -262,7 +262,7 @@ def transcript_languages(transcripts: DataFrame, identifier: Identifier) -> Data
         rows = [(*head, main, conf, [{"seg_no": k, "lang": lang, "confidence": c} for k, lang, c in foreign]) for head, (main, conf, foreign) in zip(heads, verdicts)]
         return frames.frame(["recording_id", "loaded_at", "label", "main", "confidence", "foreign"], rows)
 
-    judged = slim.mapInPandas(run, JUDGED)
+    judged = spread_out(slim, "recording_id").mapInPandas(run, JUDGED)
     kept = F.min_by(F.struct("label", "main", "confidence", "foreign"), "loaded_at").alias("j")
     return judged.groupBy("recording_id").agg(kept).select("recording_id", "j.label", "j.main", "j.confidence", "j.foreign").where("main is not null")
 
@@ -302,4 +302,4 @@ def document_languages(documents: DataFrame) -> DataFrame:
                     ids, texts, size = [], [], 0
             yield frames.frame(names, [(d, *v) for d, v in zip(ids, shared.value.identify(texts))])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, lang string, confidence double")
+    return spread_out(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id long, lang string, confidence double")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import frames
 from voxloom.llm import units
 from voxloom.llm.canon import LOOK_ALIKES, transducer
+from voxloom.plans.shared import spread_out
 
 SHINGLE = 5
 RADIUS = 3
@@ -218,7 +219,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = WORDS, let
                             rows.append((doc, item, value, run, n, "letter"))
                 yield frames.frame(["doc_id", "item_id", "similarity", "run", "windows", "unit"], rows)
 
-        hits = documents.select("doc_id", "text").mapInPandas(scan, "doc_id long, item_id long, similarity double, run long, windows long, unit string")
+        hits = spread_out(documents.select("doc_id", "text"), "doc_id").mapInPandas(scan, "doc_id long, item_id long, similarity double, run long, windows long, unit string")
         out = hits if out is None else out.unionByName(hits)
     best = F.max(F.struct("run", "similarity", "windows", "unit")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.similarity", "b.run", "b.windows", "b.unit")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.canon import as_seen
-from voxloom.plans.shared import materialize
+from voxloom.plans.shared import materialize, spread_out
 
 
 def same_looking_texts(utterances: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def same_looking_texts(utterances: DataFrame) -> DataFrame:
     Null texts, null recordings and texts that are invisible altogether give no pair; a row delivered twice counts once.
     """
     keyed = materialize(
-        utterances.select("utt_id", "recording_id", "text", as_seen("text").alias("_seen"))
+        spread_out(utterances.select("utt_id", "recording_id", "text"), "utt_id").select("utt_id", "recording_id", "text", as_seen("text").alias("_seen"))
         .where("recording_id is not null and _seen is not null and _seen <> ''")
         .select("utt_id", "recording_id", F.xxhash64("_seen").alias("_k1"), F.xxhash64("_seen", F.lit(1)).alias("_k2"), F.xxhash64("text").alias("_raw"))
         .distinct(),

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from voxloom.functions import frames
 from voxloom.llm import units
 from voxloom.llm.tokens import TOKENIZER, byte_lengths, encoding
+from voxloom.plans.shared import spread_out
 
 # Strength of a boundary, from a place inside a word to an empty line.
 INSIDE, SPACELESS, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
@@ -176,4 +177,4 @@ def split_oversized(documents: DataFrame, limits: DataFrame, tokenizer: str = TO
                     rows, size = [], 0
             yield frames.frame(names, rows)
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, limit_name string, piece_no int, start_pos int, end_pos int, tokens int, shared_tokens int, cut string, text string")
+    return spread_out(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id long, limit_name string, piece_no int, start_pos int, end_pos int, tokens int, shared_tokens int, cut string, text string")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import frames
 from voxloom.functions.heavy import heavy_split_join
 from voxloom.llm import units
-from voxloom.plans.shared import materialize
+from voxloom.plans.shared import materialize, spread_out
 
 RUN_WORDS = 8
 RUN_LETTERS = 16
@@ -60,7 +60,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def measure(texts: DataFrame) -> DataFrame:
     """(kind, item_id, host, text) -> (kind, item_id, host, words, repeated), once per kind and item. Only counts are shuffled."""
-    counted = texts.select("kind", "item_id", "host", "text").mapInPandas(_measure, "kind string, item_id string, host string, words long, repeated long")
+    counted = spread_out(texts.select("kind", "item_id", "host", "text"), "item_id").mapInPandas(_measure, "kind string, item_id string, host string, words long, repeated long")
     one = F.max(F.struct("words", "repeated", "host")).alias("m")
     return counted.groupBy("kind", "item_id").agg(one).select("kind", "item_id", "m.host", "m.words", "m.repeated")
 
