@@ -24,6 +24,7 @@ from voxloom.sources.tables import first_delivery
 RARE_RECORDS = 3
 COMMON_SHARE = 0.35
 SMOOTHING = 0.75
+BLOCK_BITS = 8
 
 
 def term_of(word: str | None) -> str:
@@ -53,7 +54,9 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def term_pairs(parsed: DataFrame) -> DataFrame:
     """(term, recording_id, n): partial counts, several rows a pair, written once in the shared folder."""
-    rows = first_delivery(parsed.where("recording_id is not null").select("utt_id", "recording_id", "words", "loaded_at"), ["utt_id"])
+    rows = parsed.where("recording_id is not null").select("utt_id", "recording_id", F.shiftright("utt_id", BLOCK_BITS).alias("_block"), "words", "loaded_at")
+    # Neighbouring utterances of a recording meet in one batch, where their terms are combined; a long recording is many blocks.
+    rows = first_delivery(rows.repartition("recording_id", "_block"), ["recording_id", "_block", "utt_id"])
     return materialize(rows.select("recording_id", "words").mapInPandas(_combine, "term string, recording_id string, n long"), "term-pairs")
 
 
