@@ -180,3 +180,32 @@ def test_own_text_has_no_issues_and_formal_text_has(spark):
     assert by["own"] == (0.0, 0) and by["formal"][0] >= 4
     metrics = {r["metric"] for r in found.where("draft = 'formal'").collect()}
     assert {"utterance_length", "negation"} <= metrics
+
+
+def test_every_draft_meets_the_profile_of_its_language(spark):
+    from voxloom.plans import queries
+
+    d = "/root/testdata/sf0.01"
+    langs = {r["version_id"]: r["lang"] for r in spark.read.parquet(f"{d}/versions.parquet").select("version_id", base.text_language(F.col("text")).alias("lang")).collect()}
+    assert {"en", "fr", None} == set(langs.values())
+    spoken = {lang: {r["speaker_id"] for r in queries._words(spark, d, lang).select("speaker_id").distinct().collect()} for lang in ("en", "fr")}
+    speaker = {r["version_id"]: r["speaker_id"] for r in spark.read.parquet(f"{d}/versions.parquet").collect()}
+    scored = {r["version_id"]: r["score"] for r in queries.agg31_style_scores(spark, d).collect()}
+    assert set(scored) == set(speaker)
+    met = {v for v, score in scored.items() if score is not None}
+    assert met == {v for v, lang in langs.items() if lang and speaker[v] in spoken[lang]} and {langs[v] for v in met} == {"en", "fr"}
+
+
+def test_language_of_drafts(spark):
+    texts = [("The neighbours watched the old boat, and we left.", "en"), ("Les voisins cherchaient la cloche, et nous sommes partis.", "fr"), ("Die Nachbarn suchten das Boot, und wir gingen.", None), ("我不知道。", None), ("", None), (None, None)]
+    rows = spark.createDataFrame(texts, "text string, want string").select("want", base.text_language(F.col("text")).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_unjudged_versions_have_no_score_and_are_not_the_best(spark):
+    drafts = spark.createDataFrame([("a",), ("b",), ("c",)], "draft string")
+    found = spark.createDataFrame([("b", 2.0)], "draft string, weight double")
+    got = critic.scores(found, drafts, "draft", drafts.where("draft <> 'c'"))
+    assert {r["draft"]: (r["score"], r["issues"]) for r in got.collect()} == {"a": (0.0, 0), "b": (2.0, 1), "c": (None, None)}
+    scored = spark.createDataFrame([("g", 1, 3.0), ("g", 2, None)], "generation string, version int, score double")
+    assert critic.best_versions(scored, "generation", "version").first()["version"] == 1

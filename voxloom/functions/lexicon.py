@@ -264,3 +264,11 @@ LEXICONS = {"fr": FRENCH, "en": ENGLISH}
 DEVICES = "rhetorical_question contrast analogy anecdote emphatic_repetition list reframing provocative_opening counterargument humor authority".split()
 PASSAGE_DEVICES = "counterargument anecdote reframing humor authority rhetorical_question contrast analogy".split()
 LANGUAGE_NAMES = {"en": ("en", "english", "eng"), "fr": ("fr", "french", "français", "fra", "fre")}
+FUNCTION_WORDS = {
+    "en": "the and of to a in is was it that we i you they he she my with for on at but not have had what who there this so nobody because before were are be",
+    "fr": "le la les un une des du de et est était il elle on je vous nous ils elles mais pas ne n l d j qu c s que qui dans sur avec pour ce cette au aux sans",
+    "es": "el la los las un una de del y es era que en por con para pero no se yo ella nosotros ellos mi al lo su como más muy",
+    "de": "der die das den dem des ein eine einen einem und ist war ich wir sie er es nicht mit für auf an im am zu von aber dass hat haben wie was",
+    "it": "il lo la i gli le un una di del della e è era che in per con ma non si io noi lei loro mio al nel sul da come più",
+    "pt": "o a os as um uma de do da dos das e é era que em no na por com para mas não se eu ela nós eles meu ao você como mais muito",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
-from voxloom.functions.lexicon import LANGUAGE_NAMES
+from voxloom.functions.lexicon import FUNCTION_WORDS, LANGUAGE_NAMES
 from voxloom.sources.tables import first_delivery
 
 
@@ -17,6 +17,25 @@ def supported_language(name: Column) -> Column:
     return F.when(low.isin(*LANGUAGE_NAMES["fr"]) | head.isin(*LANGUAGE_NAMES["fr"]), "fr").when(low.isin(*LANGUAGE_NAMES["en"]) | head.isin(*LANGUAGE_NAMES["en"]), "en")
 
 
+def text_language(text: Column) -> Column:
+    """fr or en for a text without a label, by its function words; null for every other language, and where none prevails.
+
+    The language with most of its words in the text has it, if they are a tenth of all words; other languages in Latin letters
+    are there to win their own texts.
+    """
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  (computes x once)
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+
+    def count(words: Column, code: str) -> Column:
+        return F.struct(F.size(F.filter(words, lambda w: w.isin(*FUNCTION_WORDS[code].split()))).alias("n"), F.lit(code).alias("lang"), F.size(words).alias("of"))
+
+    def verdict(ranked: Column) -> Column:
+        first, second = ranked[0], ranked[1]
+        return F.when((first["n"] > second["n"]) & (first["n"] >= 0.1 * first["of"]) & first["lang"].isin(*LANGUAGE_NAMES), first["lang"])
+
+    return once(once(words, lambda ws: F.sort_array(F.array(*[count(ws, code) for code in FUNCTION_WORDS]), False)), verdict)
+
+
 def utterance_rows(utterances: DataFrame) -> DataFrame:
     """(utt_id, speaker_id, recording_id, index, start, text, norm), a delivered-twice row once; utt_id is the corpus order."""
     once = first_delivery(utterances.select("utt_id", "speaker_id", "recording_id", "index", "start", "text", "loaded_at"), ["utt_id"])

@@ -94,15 +94,20 @@ def issues(drafts: DataFrame, targets: DataFrame, lang: str, draft_id: str, spea
     return pairs.select(draft_id, speaker, F.explode(found).alias("i")).select(draft_id, speaker, "i.*")
 
 
-def scores(found: DataFrame, drafts: DataFrame, draft_id: str) -> DataFrame:
-    """The weight of all issues of a draft, 0 where there is none (AGG31)."""
+def scores(found: DataFrame, drafts: DataFrame, draft_id: str, judged: DataFrame | None = None) -> DataFrame:
+    """The weight of all issues of a draft, 0 where there is none (AGG31). ``judged``: the drafts that met a profile, unless all
+    did; the others have neither a score nor a number of issues."""
     total = found.groupBy(draft_id).agg(F.round(F.sum("weight"), 2).alias("score"), F.count("*").alias("issues"))
-    return drafts.select(draft_id).join(total, draft_id, "left").select(draft_id, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("issues", F.lit(0)).cast("long").alias("issues"))
+    rows = drafts.select(draft_id).join(total, draft_id, "left")
+    met = F.lit(True)
+    if judged is not None:
+        rows, met = rows.join(judged.select(draft_id, F.lit(True).alias("met")), draft_id, "left"), F.col("met")
+    return rows.select(draft_id, F.when(met, F.coalesce("score", F.lit(0.0))).alias("score"), F.when(met, F.coalesce("issues", F.lit(0)).cast("long")).alias("issues"))
 
 
 def best_versions(scored: DataFrame, generation: str, version: str) -> DataFrame:
-    """The version with the lowest score; of equals the later one."""
-    order = Window.partitionBy(generation).orderBy("score", F.desc(version))
+    """The version with the lowest score; of equals the later one. One that was not judged comes after all that were."""
+    order = Window.partitionBy(generation).orderBy(F.asc_nulls_last("score"), F.desc(version))
     return scored.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 

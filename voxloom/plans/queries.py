@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
+from voxloom.functions.lexicon import LEXICONS
 from voxloom.operators import annotate, base, catalog, critic, discourse, lexical, register, rhetoric, rhythm, segment, syntax
+from voxloom.plans.shared import materialize
 from voxloom.sources.tables import first_delivery, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,7 +128,7 @@ def agg21_markers_fr(s, d):
 
 
 def _plain(rates, lang):
-    from voxloom.functions.lexicon import LEXICONS, markers
+    from voxloom.functions.lexicon import markers
 
     listed = [(c, label) for c, label, form in markers(LEXICONS[lang]) if not set("^{|\\") & set(form)]
     return rates.join(F.broadcast(rates.sparkSession.createDataFrame(listed, "category string, marker string")), ["category", "marker"], "left_semi")
@@ -299,18 +302,31 @@ def _profiles(s, d, lang):
     return critic.profile(_utts(s, d, lang), _words(s, d, lang), syntax.syntax_rows(tagged, lang), lang)
 
 
+def _judged(s, d):
+    """(lang, drafts in it, profiles in it of their speakers) for each supported language."""
+    versions = materialize(table(s, d, "versions").select("version_id", "speaker_id", "text", base.text_language(F.col("text")).alias("lang")), "versions")
+    for lang in LEXICONS:
+        mine = versions.where(F.col("lang") == lang).drop("lang")
+        drafts = critic.draft_profiles(mine, lang, "version_id").join(mine.select("version_id", "speaker_id"), "version_id")
+        yield lang, materialize(drafts, "drafts"), materialize(_profiles(s, d, lang), "profiles")
+
+
+def _issues(judged):
+    return reduce(DataFrame.unionByName, [critic.issues(drafts, targets, lang, "version_id") for lang, drafts, targets in judged])
+
+
 @query
 def cr_style_issues(s, d):
-    """Every English draft against the profile of its speaker: the flagship."""
-    versions = table(s, d, "versions").select("version_id", "speaker_id", "text")
-    drafts = critic.draft_profiles(versions, "en", "version_id").join(versions.select("version_id", "speaker_id"), "version_id")
-    return critic.issues(drafts, _profiles(s, d, "en"), "en", "version_id")
+    """Every draft in a supported language against the profile of its speaker in that language: the flagship."""
+    return _issues(_judged(s, d))
 
 
 @query
 def agg31_style_scores(s, d):
-    versions = table(s, d, "versions").select("version_id", "generation_id", "speaker_id", "version_no", "text")
-    return critic.scores(cr_style_issues(s, d), versions, "version_id")
+    """Drafts in other languages, and drafts whose speaker has no profile in their language, have no score."""
+    judged = list(_judged(s, d))
+    met = reduce(DataFrame.unionByName, [drafts.join(targets, "speaker_id", "left_semi").select("version_id") for _, drafts, targets in judged])
+    return critic.scores(_issues(judged), table(s, d, "versions"), "version_id", met)
 
 
 @query
