@@ -4,6 +4,7 @@ import random
 import statistics
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
@@ -209,3 +210,33 @@ def test_unjudged_versions_have_no_score_and_are_not_the_best(spark):
     assert {r["draft"]: (r["score"], r["issues"]) for r in got.collect()} == {"a": (0.0, 0), "b": (2.0, 1), "c": (None, None)}
     scored = spark.createDataFrame([("g", 1, 3.0), ("g", 2, None)], "generation string, version int, score double")
     assert critic.best_versions(scored, "generation", "version").first()["version"] == 1
+
+
+BY_LANGUAGE = "agg11_pronouns agg18_questions win2_question_examples agg21_marker_examples jn4_absent_markers agg23_repeats agg26_preferences agg27_address agg28_familiar_words agg9_distinctive_by_pos agg19_imperative_verbs agg4_top_lemmas card_style_cards snk11_reports".split()
+
+
+def test_operators_of_a_language_run_on_french_too(spark):
+    from voxloom.plans import queries
+
+    d = "/root/testdata/sf0.01"
+    french = {r["speaker_id"] for r in queries._words(spark, d, "fr").select("speaker_id").distinct().collect()}
+    for name in BY_LANGUAGE:
+        got = {r["speaker_id"] for r in queries.QUERIES[f"{name}_fr"](spark, d).select("speaker_id").collect()}
+        assert got <= french and (got or name == "agg28_familiar_words"), name  # no French familiar word in these tables
+    assert {r["speaker_id"] for r in queries.QUERIES["agg11_pronouns_fr"](spark, d).where("pronoun = 'je'").collect()} == french
+
+
+def test_sql_of_the_french_twins(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from voxloom.plans import oracle, queries
+
+    d = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for t in ("utterances", "parsed", "transcripts"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name in BY_LANGUAGE:
+        if name in oracle.SQL:
+            want = db.execute(oracle.SQL[f"{name}_fr"])
+            columns = [c[0] for c in want.description]
+            rows = Counter(want.fetchall())
+            assert Counter(tuple(r) for r in queries.QUERIES[f"{name}_fr"](spark, d).select(*columns).collect()) == rows, name

@@ -176,3 +176,27 @@ UNION ALL SELECT k.recording_id, k.pos, CASE WHEN r.why IS NULL THEN r.run + 1 E
 g AS (SELECT recording_id, u, string_agg(word, ' ' ORDER BY pos) AS joined, arg_min(struct_pack(v := a), pos).v AS "start", arg_max(struct_pack(v := b), pos).v AS "end", max(why) AS split FROM r JOIN k USING (recording_id, pos) GROUP BY 1, 2),
 f AS (SELECT recording_id, u, "start", "end", split, trim(regexp_replace(CASE WHEN french THEN regexp_replace({_TEXT}, '{_WS}*([?!])', ' \\1', 'g') ELSE regexp_replace({_TEXT}, '{_WS}+([?!])', '\\1', 'g') END, '{_WS}+', ' ', 'g')) AS text FROM g JOIN t USING (recording_id))
 SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY u) - 1 AS INTEGER) AS "index", "start", "end", text, split FROM f WHERE regexp_matches(text, '{_WORDY}')"""
+
+
+def _in_french(name: str, *values: tuple[str, str]) -> None:
+    """The SQL of a French twin: that of the English query with another language and other fixed values."""
+    sql = SQL[name]
+    for english, french in ((_lang("en"), _lang("fr")), *values):
+        if english not in sql:
+            raise ValueError(f"{name}: {english}")
+        sql = sql.replace(english, french)
+    SQL[f"{name}_fr"] = sql
+
+
+_FR_TAGS = (_TAGS, FRENCH.tags.replace("'", "''").replace("\\s", _WS))
+_FR_PRONOUNS = ", ".join(f"({k}, '{_quote(p)}', '{_quote(p).rstrip(chr(39))}')" for k, p in enumerate(FRENCH.pronouns))
+SQL["agg11_pronouns_fr"] = f"""WITH {_lang("fr")}, {_W}, e AS (SELECT w.* FROM w SEMI JOIN l USING (recording_id)), pr(ord, pronoun, bare) AS (VALUES {_FR_PRONOUNS}),
+z AS (SELECT speaker_id, count(*) AS n FROM e GROUP BY 1), c AS (SELECT speaker_id, w AS pronoun, count(*) AS k FROM e GROUP BY 1, 2),
+b AS (SELECT w AS bare, count(*)::DOUBLE / (SELECT count(*) FROM e) AS freq FROM e GROUP BY 1)
+SELECT speaker_id, ord, pronoun, coalesce(k, 0) AS count, round(1000.0::DOUBLE * coalesce(k, 0) / n, 2) AS per_1k, round(1000 * freq, 2) AS baseline_per_1k
+FROM z CROSS JOIN pr LEFT JOIN c USING (speaker_id, pronoun) LEFT JOIN b USING (bare)"""
+_in_french("agg18_questions", _FR_TAGS)
+_in_french("win2_question_examples", _FR_TAGS)
+_in_french("agg23_repeats", *((", ".join(f"'{x}'" for x in sorted(en)), ", ".join(f"'{x}'" for x in sorted(fr))) for en, fr in ((ENGLISH.emphatic, FRENCH.emphatic), (ENGLISH.repeat_ok, FRENCH.repeat_ok))))
+_in_french("agg27_address", (_standalone_count("norm", ENGLISH.address.split("/")), _standalone_count("norm", FRENCH.address.split("/"))))
+_in_french("agg28_familiar_words", (_FAMILIAR, " UNION ALL ".join(f"SELECT speaker_id, '{_quote(x)}' AS word, {_standalone_count('norm', [x])} AS n FROM e" for x in FRENCH.familiar)))

@@ -22,6 +22,17 @@ def query(f):
     return f
 
 
+def query_by_language(f):
+    """Registers a query of the English recordings, and with _fr behind its name the same of the French ones."""
+
+    def french(s, d):
+        return f(s, d, "fr")
+
+    french.__name__, french.__doc__ = f"{f.__name__}_fr", f.__doc__
+    QUERIES[french.__name__] = french
+    return query(f)
+
+
 def _utts(s, d, lang=None):
     rows = base.utterance_rows(table(s, d, "utterances"))
     return rows if lang is None else rows.join(_languages(s, d, lang), "recording_id", "left_semi")
@@ -36,8 +47,9 @@ def _languages(s, d, lang):
     return base.recording_languages(table(s, d, "transcripts")).where(F.col("lang") == lang)
 
 
-def _parsed_once(s, d):
-    return first_delivery(table(s, d, "parsed").select("utt_id", "speaker_id", "recording_id", "words", "loaded_at"), ["utt_id"])
+def _parsed_once(s, d, lang=None):
+    rows = first_delivery(table(s, d, "parsed").select("utt_id", "speaker_id", "recording_id", "words", "loaded_at"), ["utt_id"])
+    return rows if lang is None else rows.join(_languages(s, d, lang), "recording_id", "left_semi")
 
 
 @query
@@ -67,9 +79,9 @@ def agg9_distinctive_words(s, d):
     return lexical.distinctive(lexical.against_baseline(words, lexical.baseline(words))).select("speaker_id", "rank", "w", "count", "log2_ratio", "recordings")
 
 
-@query
-def agg9_distinctive_by_pos(s, d):
-    tokens = syntax.token_rows(annotate.annotate(_utts(s, d, "en"), "en"))
+@query_by_language
+def agg9_distinctive_by_pos(s, d, lang="en"):
+    tokens = syntax.token_rows(annotate.annotate(_utts(s, d, lang), lang))
     words = tokens.select("speaker_id", "recording_id", "utt_id", F.col("pos_i").alias("pos"), "w")
     rated = lexical.against_baseline(words, lexical.baseline(words)).join(syntax.dominant_pos(tokens), ["speaker_id", "w"])
     return lexical.distinctive(rated, syntax.style_bucket()).select("speaker_id", "bucket", "rank", "w", "count", "log2_ratio", "recordings")
@@ -81,10 +93,10 @@ def agg10_underused_words(s, d):
     return lexical.underused(lexical.against_baseline(words, lexical.baseline(words))).select("speaker_id", "rank", "w", "count", "log2_ratio")
 
 
-@query
-def agg11_pronouns(s, d):
-    words = _words(s, d, "en")
-    return lexical.pronouns(words, lexical.baseline(words), "en")
+@query_by_language
+def agg11_pronouns(s, d, lang="en"):
+    words = _words(s, d, lang)
+    return lexical.pronouns(words, lexical.baseline(words), lang)
 
 
 @query
@@ -107,14 +119,14 @@ def agg17_opening_bigrams(s, d):
     return rhythm.top_starts(_words(s, d), bigrams=True)
 
 
-@query
-def agg18_questions(s, d):
-    return rhythm.question_block(_utts(s, d, "en"), "en")
+@query_by_language
+def agg18_questions(s, d, lang="en"):
+    return rhythm.question_block(_utts(s, d, lang), lang)
 
 
-@query
-def win2_question_examples(s, d):
-    return rhythm.question_examples(_utts(s, d, "en"), "en")
+@query_by_language
+def win2_question_examples(s, d, lang="en"):
+    return rhythm.question_examples(_utts(s, d, lang), lang)
 
 
 @query
@@ -145,16 +157,16 @@ def agg21_plain_markers_fr(s, d):
     return _plain(agg21_markers_fr(s, d), "fr")
 
 
-@query
-def agg21_marker_examples(s, d):
-    return discourse.marker_examples(_utts(s, d, "en"), "en").select("speaker_id", "marker", "pick", "recording_id", "index", "text")
+@query_by_language
+def agg21_marker_examples(s, d, lang="en"):
+    return discourse.marker_examples(_utts(s, d, lang), lang).select("speaker_id", "marker", "pick", "recording_id", "index", "text")
 
 
-@query
-def jn4_absent_markers(s, d):
-    sizes = lexical.totals(_words(s, d, "en"))
-    rates = discourse.marker_rates(discourse.marker_counts_by_recording(_utts(s, d, "en"), "en"), sizes)
-    return discourse.absent_markers(rates, sizes, "en").drop("ord")
+@query_by_language
+def jn4_absent_markers(s, d, lang="en"):
+    sizes = lexical.totals(_words(s, d, lang))
+    rates = discourse.marker_rates(discourse.marker_counts_by_recording(_utts(s, d, lang), lang), sizes)
+    return discourse.absent_markers(rates, sizes, lang).drop("ord")
 
 
 @query
@@ -162,24 +174,24 @@ def agg22_signature_phrases(s, d):
     return discourse.signature_phrases(discourse.utterance_words(_parsed_once(s, d)))
 
 
-@query
-def agg23_repeats(s, d):
-    return discourse.repeats(_utts(s, d, "en"), "en").groupBy("speaker_id", "kind", "word").agg(F.count("*").alias("count"), F.max("run").alias("longest"))
+@query_by_language
+def agg23_repeats(s, d, lang="en"):
+    return discourse.repeats(_utts(s, d, lang), lang).groupBy("speaker_id", "kind", "word").agg(F.count("*").alias("count"), F.max("run").alias("longest"))
 
 
-@query
-def agg26_preferences(s, d):
-    return register.preference_counts(_utts(s, d, "en"), "en")
+@query_by_language
+def agg26_preferences(s, d, lang="en"):
+    return register.preference_counts(_utts(s, d, lang), lang)
 
 
-@query
-def agg27_address(s, d):
-    return register.address_rate(_utts(s, d, "en"), lexical.totals(_words(s, d, "en")), "en")
+@query_by_language
+def agg27_address(s, d, lang="en"):
+    return register.address_rate(_utts(s, d, lang), lexical.totals(_words(s, d, lang)), lang)
 
 
-@query
-def agg28_familiar_words(s, d):
-    return register.familiar_words(register.familiar_matches(_utts(s, d, "en"), "en"), lexical.totals(_words(s, d, "en")))
+@query_by_language
+def agg28_familiar_words(s, d, lang="en"):
+    return register.familiar_words(register.familiar_matches(_utts(s, d, lang), lang), lexical.totals(_words(s, d, lang)))
 
 
 @query
@@ -287,14 +299,14 @@ def agg14_syntax_fr(s, d):
     return syntax.syntax_profile(_syntax(s, d, "fr"))
 
 
-@query
-def agg19_imperative_verbs(s, d):
-    return syntax.imperative_verbs(_syntax(s, d, "en"))
+@query_by_language
+def agg19_imperative_verbs(s, d, lang="en"):
+    return syntax.imperative_verbs(_syntax(s, d, lang))
 
 
-@query
-def agg4_top_lemmas(s, d):
-    return syntax.top_lemmas(syntax.token_rows(annotate.annotate(_utts(s, d, "en"), "en")))
+@query_by_language
+def agg4_top_lemmas(s, d, lang="en"):
+    return syntax.top_lemmas(syntax.token_rows(annotate.annotate(_utts(s, d, lang), lang)))
 
 
 def _profiles(s, d, lang):
@@ -329,21 +341,21 @@ def agg31_style_scores(s, d):
     return critic.scores(_issues(judged), table(s, d, "versions"), "version_id", met)
 
 
-@query
-def card_style_cards(s, d):
-    """Style cards of all English speakers (CARD1-CARD10)."""
+@query_by_language
+def card_style_cards(s, d, lang="en"):
+    """Style cards of all speakers of a language (CARD1-CARD10)."""
     from voxloom.operators import documents
     from voxloom.plans.documents import measured
 
-    return documents.style_cards(measured(_utts(s, d, "en"), _words(s, d, "en"), _parsed_once(s, d), _items(s, d), "en"), "en")
+    return documents.style_cards(measured(_utts(s, d, lang), _words(s, d, lang), _parsed_once(s, d, lang), _items(s, d), lang), lang)
 
 
-@query
-def snk11_reports(s, d):
+@query_by_language
+def snk11_reports(s, d, lang="en"):
     from voxloom.operators import documents
     from voxloom.plans.documents import measured
 
-    return documents.reports(measured(_utts(s, d, "en"), _words(s, d, "en"), _parsed_once(s, d), _items(s, d), "en"), "en")
+    return documents.reports(measured(_utts(s, d, lang), _words(s, d, lang), _parsed_once(s, d, lang), _items(s, d), lang), lang)
 
 
 @query
