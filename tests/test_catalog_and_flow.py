@@ -217,6 +217,24 @@ def test_selection_and_loop():
     assert len(made.versions) == 1 and made.file_name().endswith("-boats") and '"text"' in made.to_json()
 
 
+def test_selection_on_the_cluster_equals_one_pass(spark):
+    rng = random.Random(5)
+    for size in (0, 1, 3, 40, 40):
+        rows = sorted({(f"r{rng.randint(0, 5)}", k): (rng.choice(["opening", "middle", "middle", "closing"]), rng.sample(["humor", "contrast", "analogy", "anecdote"], rng.randint(0, 3))) for k in range(size)}.items())
+        df = spark.createDataFrame([(rec, k, role, d) for (rec, k), (role, d) in rows], "recording_id string, window int, role string, devices array<string>")
+        assert generation.choose_from(df) == generation.choose([generation.Passage(rec, k, role, tuple(d)) for (rec, k), (role, d) in rows])
+
+
+def test_examples_come_from_all_recordings(spark, tmp_path):
+    s = cli.Session(spark, f"{tmp_path}/store")
+    said = [("a", i, f"word{i} " + "w " * 129) for i in range(2100)] + [("z", i, f"We joke about number {i}. " + "w " * 129) for i in range(3)]
+    s.store.write("utterances", spark.createDataFrame([("s", rec, 0, i, float(i), i + 0.5, t.strip(), "end") for rec, i, t in said], schema.UTTERANCE))
+    s.store.write("annotations", spark.createDataFrame([(1, "s", "z", "humor", [1], "We joke about number 1", None, None), (2, "s", "z", "contrast", [2], "never said", None, None)], schema.ANNOTATION))
+    picked = s.examples("s")
+    assert [(p.recording_id, p.window, p.devices) for p in picked] == [("a", 0, ()), ("z", 1, ("humor",)), ("a", 1, ()), ("a", 2099, ())]
+    assert picked[1].text.startswith("We joke about number 1.")
+
+
 def test_client():
     seen = []
 

@@ -103,6 +103,10 @@ class Session:
         words = syntax.token_rows(tagged).select("speaker_id", "recording_id", "utt_id", F.col("pos_i").alias("pos"), "w")
         return critic.profile(utts, words, syntax.syntax_rows(tagged, lang), lang)
 
+    def examples(self, speaker: str) -> list[generation.Passage]:
+        mine = F.col("speaker_id") == speaker
+        return generation.examples(self.utterances().where(mine), self.store.read("annotations").where(mine))
+
     def analyze(self, pause: float) -> int:
         recordings = self.store.read("recordings").select(F.col("id").alias("recording_id"), "speaker_id")
         transcripts = self.store.read("transcripts").withColumn("loaded_at", F.lit(None).cast("timestamp"))
@@ -177,9 +181,7 @@ def run(args: argparse.Namespace, spark: SparkSession, out=print, chat=None) ->
             return int(bool(found))
         chat = chat or Client(Settings.load(url=args.url, model=args.model)).chat
         card = documents.style_cards(s.frames(args.language), args.language).where(F.col("speaker_id") == speaker).first()
-        texts = segment.passages(s.utterances().where(F.col("speaker_id") == speaker))
-        rows = texts.select("recording_id", "window", "role", F.array().cast("array<string>").alias("devices"), "text").orderBy("recording_id", "window").limit(2000).collect()
-        picked = generation.choose([generation.Passage(r["recording_id"], r["window"], r["role"], tuple(r["devices"]), r["text"]) for r in rows])
+        picked = s.examples(speaker)
         system = generation.system_prompt(args.speaker, args.language, card["document"] if card else "", picked)
         made = generation.generate(chat, judge, lambda t: generation.cleaned(spark, t), system, args.instruction, args.words, args.revisions, args.temperature)
         out(made.text)

@@ -7,3 +7,4 @@ SEGMENT = f"struct<start:double,end:double,text:string,avg_logprob:double,no_spe
 TRANSCRIPT = f"recording_id string, source_sha256 string, model string, language string, prompt string, created_at string, duration_s double, text string, segments array<{SEGMENT}>"
 UTTERANCE = "speaker_id string, recording_id string, rec_ord int, index int, start double, end double, text string, split string"
 ANSWER = "items array<struct<device:string,utterances:array<int>,quote:string,why:string>>"
+ANNOTATION = "annotation_id long, speaker_id string, recording_id string, device string, utterances array<int>, quote string, why string, t double"

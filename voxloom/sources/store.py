@@ -21,7 +21,7 @@ class CatalogError(Exception):
 class Store:
     """Tables below a root folder. Every change writes a whole table and is atomic by the committer of the writer."""
 
-    KINDS = {"speakers": schema.SPEAKER, "recordings": schema.RECORDING, "transcripts": schema.TRANSCRIPT, "utterances": schema.UTTERANCE}
+    KINDS = {"speakers": schema.SPEAKER, "recordings": schema.RECORDING, "transcripts": schema.TRANSCRIPT, "utterances": schema.UTTERANCE, "annotations": schema.ANNOTATION}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
