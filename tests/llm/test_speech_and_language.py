@@ -233,3 +233,9 @@ def test_split_oversized(spark):
     got = pieces.split_oversized(d, limits)
     assert {r["doc_id"] for r in got.collect()} == {1} and {r["limit_name"] for r in got.select("limit_name").distinct().collect()} == {"a", "b", "o"}
     assert pieces.split_oversized(d.limit(0), limits).count() == 0
+
+
+def test_long_captions_repeat_once():
+    first = [f"word{k}" for k in range(700)]
+    got = turns.turns_of([0.0, 5.0], [5.0, 9.0], [" ".join(first), " ".join(first + ["and", "more"])], [None] * 2, [None] * 2, [], False)
+    assert len(got) == 1 and got[0][4].split() == first + ["and", "more"]

@@ -24,7 +24,6 @@ from voxloom.llm.speech import Labels, clean, has_content, invented
 LEAST_OVERLAP = 3
 LEAST_PAUSE_S = 1.0
 PAUSE_SPREAD = 5.0
-KEPT_WORDS = 400  # what a caption can repeat
 TURNS = "recording_id string, turn_no int, voice_no int, start_ms long, end_ms long, segments int, text string"
 
 
@@ -70,19 +69,19 @@ def turns_of(starts, ends, texts, logprobs, nospeech, voices: list[tuple[int, st
     for _, i, start, end, text in rows:
         if not text or invented(nospeech[i], logprobs[i]):
             continue
-        parts = [(voice, part, has_content(part)) for voice, part in labels.split(text)]
+        parts = [(voice, clean(part).split() if (full := has_content(part)) else [], full) for voice, part in labels.split(text)]
         if any(full for _, _, full in parts):
             kept.append((start, end, parts))
     limit = calibrated_pause([b[0] - a[1] for a, b in zip(kept, kept[1:]) if a[1] is not None and b[0] is not None]) if split_pauses else float("inf")
+    longest = max((len(words) for _, _, parts in kept for _, words, _ in parts), default=0)  # no caption repeats more
     out: list[list] = []
     voice, ended, said = None, None, []
     for start, end, parts in kept:
         paused = ended is not None and start is not None and start - ended > limit
-        for named, part, full in parts:
+        for named, words, full in parts:
             voice = voice if named is None else named
             if not full or (voice is None and voices):
                 continue
-            words = clean(part).split()
             keys = [_key(w) for w in words]
             again = overlap(said, keys)
             fresh, keys = words[again:], keys[again:]
@@ -93,7 +92,7 @@ def turns_of(starts, ends, texts, logprobs, nospeech, voices: list[tuple[int, st
             else:
                 out.append([voice, start, end, 1, words])
             paused = False
-            said = (said + keys)[-KEPT_WORDS:]
+            said = (said + keys)[-longest:]
         ended = end if end is not None else ended
     ms = lambda s: None if s is None else int(round(s * 1000))
     return [(v, ms(a), ms(b), n, " ".join(w)) for v, a, b, n, w in out]
