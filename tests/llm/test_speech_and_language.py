@@ -185,18 +185,20 @@ def test_mixture(spark):
     docs += [(5000, None, "big", "x"), (5001, "", "big", "x"), (None, "word", "big", "x"), (5002, "word", None, "x"), (5003, "word", "untargeted", "x"), docs[0]]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string, copies string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 3), ("none", 0.1, 2), ("zero", 0.0, 2)], "source string, target_share double, max_repeats int")
-    for kw in ({}, {"exact_shares": True}, {"total_tokens": 3000}):
+    for kw in ({}, {"keep_shares": True}, {"total_tokens": 3000}):
         chosen, report = mixing.mixed(d, targets, **kw)
         rows = {r["source"]: r for r in report.collect()}
         assert rows["none"]["tokens"] == 0 and rows["big"]["most_copies"] <= 1 and rows["small"]["most_copies"] <= 3
         for s in ("big", "small"):
-            assert abs(rows[s]["tokens"] - rows[s]["budget_tokens"]) <= 61
+            assert 0 <= rows[s]["lacking_tokens"] <= 6  # no document has fewer tokens
         assert chosen.groupBy("doc_id").count().where("count > 1").count() == 0
         if kw:
             assert abs(rows["big"]["share"] - 5 / 9) < 0.02
-    small, _ = mixing.mixed(d, targets, total_tokens=2000)
-    large, _ = mixing.mixed(d, targets, total_tokens=4000)
-    assert small.join(large, "doc_id", "left_anti").count() == 0
+    assert all(tuple(r)[1:] == (True, True, True) for r in mixing.checks(d, targets).collect())
+    weights = mixing.materialize(mixing.weighed(d, targets), "weights")
+    below = lambda total: {r["source"]: r["rounds"] * mixing.PLACES + r["threshold"] for r in mixing.plan(weights, targets, total)}
+    small, large = below(2000), below(4000)
+    assert all(small[s] <= large[s] for s in small)
     chosen, _ = mixing.mixed(d, targets)
     assert mixing.copies_as_rows(chosen, d.dropDuplicates(["doc_id"])).count() == sum(r["copies"] for r in chosen.collect())
     chosen, report = mixing.mixed(d.limit(0), targets)
@@ -204,22 +206,60 @@ def test_mixture(spark):
     assert mixing.mixed(d, targets.limit(0))[0].count() == 0
 
 
+def test_gaps_are_filled_by_what_fits(spark, monkeypatch):
+    rng = random.Random(8)
+    for k in range(2):
+        docs = [(i, "word " * rng.choice([3, 7, 200, 900]), rng.choice("ab")) for i in range(60)]
+        d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+        targets = spark.createDataFrame([("a", 0.8, 2), ("b", 0.2, 1)], "source string, target_share double, max_repeats int")
+        if k == 0:
+            assert all(tuple(r)[1:] == (True, True, True) for r in mixing.checks(d, targets, seed=k).collect())
+        weights = mixing.materialize(mixing.weighed(d, targets, seed=k), "weights")
+        short = {tuple(r) for r in mixing.choose(weights, targets)[0].collect()}
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "ONE_TASK", 0)
+            assert {tuple(r) for r in mixing.choose(weights, targets)[0].collect()} == short
+
+
 TEXTS = ["The cat sat. " * 300, "我们在学校后面保存了绿的鼓。" * 120, "x" * 4000, "a\n\nb, c; d. " * 400, "ผมวัดรั้วเก่าใกล้สถานี" * 60, "🎉" * 500, "one " * 65, "é́" * 900]
 
 
-@pytest.mark.parametrize("text", TEXTS)
-@pytest.mark.parametrize("limit,overlap", [(64, 0), (64, 16), (256, 32)])
-def test_pieces(text, limit, overlap):
-    enc = tokens.encoding()
+def held(text, limit, overlap):
+    """The pieces, after a check of cover, limit and overlap on their own texts."""
     got = pieces.pieces(text, limit, overlap)
     if tokens.count(text) <= limit:
         assert got == []
-        return
+        return got
     assert got[0][0] == 0 and got[-1][1] == len(text)
-    for a, b, n, shared, _ in got:
-        assert n == len(enc.encode_ordinary(text[a:b])) <= limit
+    assert all(n == tokens.count(text[a:b]) <= limit for a, b, n, _, _ in got)
     for x, y in zip(got, got[1:]):
-        assert x[0] < y[0] <= x[1] and y[3] >= overlap and (overlap or y[0] == x[1])
+        assert x[0] <= y[0] <= x[1] < y[1] and y[3] == tokens.count(text[y[0] : x[1]]) >= overlap and (overlap or y[0] == x[1])
+    return got
+
+
+@pytest.mark.parametrize("text", TEXTS)
+@pytest.mark.parametrize("limit,overlap", [(64, 0), (64, 16), (64, 48), (256, 32), (7, 0), (8, 3)])
+def test_pieces(text, limit, overlap):
+    held(text, limit, overlap)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab'st \n\t.,1é我。ก🎉", max_size=120), st.integers(1, 64), st.data())
+def test_pieces_of_any_text_limit_and_overlap(text, limit, data):
+    overlap = data.draw(st.integers(0, limit - 1))
+    try:
+        held(text, limit, overlap)
+    except ValueError:  # a sign has up to four tokens; on either side of the overlap it may need that many
+        assert limit - overlap < 8
+
+
+def test_impossible_limits():
+    for limit, overlap in ((0, 0), (5, 5), (5, 6), (5, -1)):
+        with pytest.raises(ValueError):
+            pieces.pieces("word " * 50, limit, overlap)
+    with pytest.raises(ValueError):
+        pieces.pieces("🎉" * 9, 1, 0)
+    assert len(held("word " * 5000, 7, 0)) > 700
 
 
 def test_pieces_prefer_natural_boundaries():

