@@ -23,15 +23,14 @@ from pyspark.sql import types as T
 # Letters of other scripts (and two rare Latin shapes) drawn like a Latin letter.
 LOOK_ALIKES = {
     "a": "аɑα", "b": "Ьƅ", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іıι", "j": "јϳ", "k": "κ",
-    "l": "ӏ", "n": "ոп", "o": "оοօ", "p": "рρ", "q": "ԛզ", "r": "г", "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝա", "x": "хχ", "y": "уγ",
+    "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝա", "x": "хχ", "y": "уγ",
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "L": "Լ",
     "M": "МΜ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ",
     "Y": "УΥҮ", "Z": "Ζ",
 }
-# п and г resemble n and r only in italics; they are left alone.
-for _latin in ("n", "r"):
-    LOOK_ALIKES[_latin] = "".join(c for c in LOOK_ALIKES[_latin] if c not in "пг")
+# Left out: п and г, which resemble n and r only in italics.
 APOSTROPHES = "’‘‛ʼʻʽʹ′＇`´ꞌ"
+LONGEST_KNOWN = 32
 # Invisible although not of category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 
@@ -86,7 +85,7 @@ def rules(look_alikes: bool = True) -> dict[str, str]:
 
 
 class Transducer:
-    """Longest-match rewriting of one grapheme cluster at a time; results of clusters are kept in a bounded memo."""
+    """Longest-match rewriting of one grapheme cluster at a time; results of clusters and words are kept in bounded memos."""
 
     def __init__(self, table: dict[str, str], memo: int = 200_000):
         self.root: dict = {}
@@ -104,6 +103,7 @@ class Transducer:
         self.changed_ascii = {ord(s) for s in table if len(s) == 1 and s.isascii()}
         self.touched = re.compile("[" + "".join(map(re.escape, sorted(s for s in table if s.isascii() and len(s) == 1))) + "]").search if self.changed_ascii else (lambda _: None)
         self.memo: dict[str, str] = {}
+        self.words: dict[str, str] = {}
         self.size = memo
         for source, target in table.items():
             if self.cluster(target) != target:
@@ -129,15 +129,26 @@ class Transducer:
     def __call__(self, text: str | None) -> str | None:
         if text is None or (text.isascii() and not self.touched(text)):
             return text
-        memo, out = self.memo, []
-        for part in self.clusters(text):
-            done = memo.get(part)
-            if done is None:
-                if len(memo) >= self.size:
-                    memo.clear()
-                done = memo[part] = self.cluster(part)
-            out.append(done)
-        return unicodedata.normalize("NFC", "".join(out))  # joins what the clusters leave apart: marks above 0x10000
+        # No rule begins with a blank or spans one, so words are rewritten apart, each once while it is remembered.
+        return " ".join(map(self.word, text.split(" ")))
+
+    def word(self, text: str) -> str:
+        known = self.words.get(text)
+        if known is None:
+            known = unicodedata.normalize("NFC", "".join(map(self.part, self.clusters(text))))  # joins what the clusters leave apart: marks above 0x10000
+            if len(text) <= LONGEST_KNOWN:
+                if len(self.words) >= self.size:
+                    self.words.clear()
+                self.words[text] = known
+        return known
+
+    def part(self, text: str) -> str:
+        done = self.memo.get(text)
+        if done is None:
+            if len(self.memo) >= self.size:
+                self.memo.clear()
+            done = self.memo[text] = self.cluster(text)
+        return done
 
 
 @cache

@@ -37,8 +37,12 @@ def code_points(text: str) -> np.ndarray:
 
 def letters(text: str) -> np.ndarray:
     """The code points of letters, marks and digits, in lower case."""
-    codes = np.minimum(code_points(text.lower()), TOP - 1)
-    return codes[tables()[0][codes]]
+    return letters_of_lower(text.lower()).astype(np.uint32)
+
+
+def letters_of_lower(text: str) -> np.ndarray:
+    codes = np.minimum(code_points(text), TOP - 1)
+    return codes[tables()[0][codes]].astype(np.uint64)
 
 
 def spaceless_share(text: str) -> float:
@@ -53,7 +57,13 @@ def spaceless_share(text: str) -> float:
 
 def words(text: str) -> list[str]:
     """Lower-case words: runs of letters, marks and digits; an apostrophe between them belongs to the word."""
-    return word_finder()(text.lower())
+    return words_of_lower(text.lower())
+
+
+def words_of_lower(text: str) -> list[str]:
+    if text.isascii():
+        return ASCII_WORDS(text)
+    return word_finder()(text)
 
 
 def hashes(items: list[str]) -> np.ndarray:
@@ -61,6 +71,7 @@ def hashes(items: list[str]) -> np.ndarray:
     return np.fromiter(map(hash, items), np.int64, len(items)).view(np.uint64)
 
 
+ASCII_WORDS = re.compile(r"\w+(?:'\w+)*", re.ASCII).findall
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
