@@ -112,7 +112,7 @@ def test_language_report(spark, identifier):
 
 @pytest.fixture(scope="module")
 def tagger(spark):
-    return sentences.tagger_for(spark.read.parquet(f"{DATA}/versions.parquet"))
+    return sentences.train()
 
 
 def split(tagger, text):
@@ -164,8 +164,29 @@ def test_sentences_cover_all_text(tagger_text):
 def test_lost_marks_are_split_on_request_only(spark, tagger):
     loop = "The choir forgot the bridge before lunch " * 3
     assert len(tagger.sentences(loop)) == 1
-    other = sentences.tagger_for(spark.read.parquet(f"{DATA}/versions.parquet"), lost_marks=True)
+    texts = sentences.corpus_texts(spark.read.parquet(f"{DATA}/utterances.parquet"), spark.read.parquet(f"{DATA}/versions.parquet"))
+    other = sentences.tagger_for(texts, lost_marks=True)
     assert len(other.sentences(loop)) == 3
+    assert split(other, "The choir forgot the bridge. My sister found it.") == ["The choir forgot the bridge.", "My sister found it."] and other.sentences("") == []
+
+
+def test_stripped_sentences_of_every_script_are_found():
+    from voxloom.llm import begins
+
+    rng = random.Random(2)
+    nouns = {"latin": ["The boat", "My sister", "Their choir"], "han": ["我妹妹", "邻居", "老师"], "thai": ["ครู", "เด็ก", "พ่อ"], "hindi": ["मेरी माँ", "लोग", "बच्चे"], "kana": ["先生は", "母は", "彼らは"]}
+    verbs = {"latin": ["left the shore", "sang again", "found a letter"], "han": ["修好了梯子", "搬走了小的鼓", "唱歌"], "thai": ["ร้องเพลง", "วัดรั้ว", "ซื้อบ้าน"], "hindi": ["घर गए", "गाना गाया", "पुल देखा"], "kana": ["歌いました", "走りました", "手紙を読みました"]}
+    glue = {"latin": " ", "hindi": " "}
+    made = [n + glue.get(k, "") + v + end for k in nouns for n in nouns[k] for v in verbs[k] for end in (".", "!", "")]
+    model = begins.fit(sorted(set(made)))
+    right = given = true = 0
+    for k in nouns:
+        for _ in range(20):
+            line, at = begins.joined([rng.choice(nouns[k]) + glue.get(k, "") + rng.choice(verbs[k]) for _ in range(4)], rng)
+            got = model.boundaries(line)
+            right, given, true = right + len(set(got) & set(at)), given + len(got), true + len(at)
+    assert right / true > 0.9 and right / given > 0.9
+    assert begins.fit([]).boundaries("We left We came") == [] and model.boundaries("") == []
 
 
 def test_sentence_spans(spark):

@@ -1,11 +1,11 @@
 """Problem 7: sentence boundaries across languages and scripts.
 
-Candidates are the places where a sentence may end: after a run of marks with its closing quotes, at a space of a script
-without marks (Thai), and on request between words where a mark may have been lost. A linear-chain model tags each candidate as boundary
-or inside: features of the candidate and of the pair of neighbouring tags, weights of an averaged structured perceptron,
-Viterbi decoding. It is trained on built-in sentences of the eleven languages, joined with the dirt that real text has, and on
-sentences of a bounded sample of the texts with their punctuation stripped, from which it learns where sentences begin when no
-mark says so. Line breaks always end a sentence.
+Two linear-chain models tag characters as boundary or inside, each with Viterbi decoding. The first tags what marks point at:
+the character after a run of marks with its closing quotes, and after a space of a script without marks (Thai); all other
+characters are inside for it. Its weights are those of an averaged structured perceptron, trained on built-in sentences of the
+eleven languages, joined with the dirt that real text has; the Thai ones have no marks. The second (``begins``) tags, on
+request, the characters of the stretches between: it is trained on sentences of a bounded sample of the texts with their marks
+stripped, and splits where marks were lost. Line breaks always end a sentence.
 
 Texts are read in the seen form, so accents, widths and invisible characters do not matter; positions are those of the stored
 text, in code points. Defined results: null, empty and blank texts have no sentence; a text without boundary is one.
@@ -15,21 +15,23 @@ from __future__ import annotations
 
 import random
 import re
-import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import frames
+from voxloom.llm import begins
+from voxloom.llm.begins import Begins
 from voxloom.llm.canon import transducer
 from voxloom.plans.shared import spread_out
 
-SAMPLE_TEXTS = 400
+SAMPLE_TEXTS = 8000  # of each script
+# Scripts by their letters; a text is of the first that it has letters of.
+SCRIPTS = (("kana", "[\u3041-\u30ff]"), ("han", "[\u3400-\u9fff]"), ("thai", "[\u0e01-\u0e5b]"), ("devanagari", "[\u0900-\u097f]"), ("cyrillic", "[\u0400-\u04ff]{3}"))
 EPOCHS = 5
-LEAST_BEGINS = 2
 MARKS = ".!?…。！？｡।॥"
 QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"', "‹": "›"}
 # Abbreviations that stand before a name or number, and others, after which a sentence may also end.
@@ -49,9 +51,8 @@ TRAIN = {
     "th": "เวลา4.30น.เราเจอแม่|ครูซื้อบ้านราคา3.5บาทและกลับ|ใครมีกุญแจ|ใช่ครับ|ผมร้องเพลง|เด็กวิ่งเพราะฝนตก|ไม่รู้|เอ่อ...|แล้วทุกคนนอน|พวกเราไปตลาด",
 }
 OPENERS = "[(<{«“„「『¿¡\"'（［【"
-WORD = re.compile(r"[^\s.!?…。！？।,;:\"“”„«»()\[\]<>]+(?:\.[^\W\d_]+)*")
-NEXT = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
-LOST = re.compile(r"(?<=[^\W\d_])[ ]+(?=[^\W\d_])")
+MARKED = re.compile(f"[{MARKS}]+").finditer
+QUOTED = re.compile("[" + "".join(re.escape(c) for c in sorted({*QUOTES, *"".join(QUOTES.values())})) + "]").finditer
 
 
 def _canonical(words: list[str]) -> frozenset:
@@ -63,34 +64,61 @@ def _is_thai(text: str) -> bool:
     return n > 0 and n * 2 > sum(c.isalpha() for c in text)
 
 
+class _Seen(dict):
+    """The seen form of a word, and the position of each of its letters; None for the positions if they are those of the word."""
+
+    def __missing__(self, word: str) -> tuple[str, list[int] | None]:
+        run, out, places, at = transducer(True), [], [], 0
+        for part in run.clusters(word):
+            done = run.part(part)
+            out.append(done)
+            places.extend([at] * len(done))
+            at += len(part)
+        seen = "".join(out)
+        found = (seen, None if places == list(range(len(word))) else places)
+        if len(word) <= 32:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_seen = _Seen()
+
+
 def seen_with_map(text: str) -> tuple[str, list[int] | None]:
     """The seen form, and for every position in it (and its end) the position in the stored text; None if they are equal."""
-    run = transducer(True)
     if text.isascii():
         return text, None
-    out, places, at = [], [], 0
-    for part in run.clusters(text):
-        done = run(part)
-        out.append(done)
-        places.extend([at] * len(done))
-        at += len(part)
-    return "".join(out), [*places, at]
+    words = text.split(" ")
+    forms = [_seen[w] for w in words]
+    seen = " ".join([f for f, _ in forms])
+    if all(places is None for _, places in forms):
+        return seen, None
+    out, at = [], 0
+    for word, (form, places) in zip(words, forms):
+        out.extend(range(at, at + len(form)) if places is None else [at + x for x in places])
+        at += len(word)
+        out.append(at)
+        at += 1
+    return seen, out
 
 
 class Tagger:
-    def __init__(self, weights: dict, openers: frozenset = frozenset()):
+    def __init__(self, weights: dict, begins: Begins | None = None):
         self.weights = weights
-        self.openers = openers  # words that begin sentences; only before them can a mark have been lost
+        self.begins = begins  # also tags the characters that no mark stands before
         self.titles, self.others = _canonical(TITLES), _canonical(OTHERS)
+        self.known: dict[tuple, float] = {}
 
     # candidates ------------------------------------------------------------------------------------------------------
 
-    def candidates(self, line: str) -> list[tuple[int, int, list[str]]]:
-        """[(end of the left part, start of the right part, features)] in order, of one line without space around."""
-        closers, depth_at = self._quotes(line)
-        thai = _is_thai(line)
+    def candidates(self, line: str) -> list[tuple[int, int, tuple]]:
+        """[(end of the left part, start of the right part, context)] in order, of one line without space around."""
+        closers, spans = self._quotes(line)
+        thai = not line.isascii() and _is_thai(line)
         found: dict[int, tuple[int, str]] = {}
-        for m in re.finditer(f"[{MARKS}]+", line):
+        for m in MARKED(line):
             end = m.end()
             while end < len(line):
                 if end in closers or line[end] in ")]）］】":
@@ -105,20 +133,13 @@ class Tagger:
             for m in re.finditer(r"\s+", line):
                 if "฀" <= line[m.start() - 1] <= "๿":
                     found.setdefault(m.start(), (m.start(), "space"))
-        else:
-            for m in LOST.finditer(line):
-                word = NEXT.match(line, m.end()).group()
-                if word[0].isupper() and word.lower() in self.openers and not (len(word) > 1 and word.isupper()):
-                    found.setdefault(m.start(), (m.start(), "lost"))
         out = []
-        before = 0
-        for end in sorted(found):
+        for end in sorted(found) if len(found) > 1 else found:
             at, mark = found[end]
             start = end
             while start < len(line) and line[start].isspace():
                 start += 1
-            out.append((end, start, self._features(line, at, end, start, mark, thai, depth_at, line[before:at].count(" "))))
-            before = end
+            out.append((end, start, self._context(line, at, end, start, mark, spans)))
         return out
 
     @staticmethod
@@ -126,7 +147,8 @@ class Tagger:
         """Positions of closing quotes and the spans of quotations, unmatched openers left out."""
         stack: list[tuple[str, int]] = []
         closers, spans = set(), []
-        for i, c in enumerate(line):
+        for m in QUOTED(line):
+            i, c = m.start(), m.group()
             if stack and c in QUOTES[stack[-1][0]]:
                 _, begin = stack.pop()
                 closers.add(i)
@@ -135,41 +157,55 @@ class Tagger:
                 stack.append((c, i))
         return closers, spans
 
-    def _features(self, line: str, at: int, end: int, start: int, mark: str, thai: bool, spans, gap: int) -> list[str]:
-        kind = "lost" if mark == "lost" else "space" if mark == "space" else "..." if mark in ("...", "…", "……") else mark if len(mark) == 1 else "many"
+    @staticmethod
+    def _context(line: str, at: int, end: int, start: int, mark: str, spans) -> tuple:
+        """What a candidate is judged by: the mark, the word before it, what follows, and whether it lies in a quotation."""
+        kind = "space" if mark == "space" else "..." if mark in ("...", "…", "……") else mark if len(mark) == 1 else "many"
         head = line[max(0, at - 24) : at]
         words = head.split()
         token = words[-1].lstrip(OPENERS + ">") if words and not head[-1:].isspace() else ""
-        low = token.lower()
-        bare = re.sub(r"\d+", "0", low)
-        size = len(token)
-        shape = "none" if not token else "num" if low[-1:].isdigit() else "one" if size == 1 else "short" if size <= 3 else "long"
-        initial = size == 1 and token.isupper()
-        abbreviation = "title" if low in self.titles else "other" if low in self.others or low.replace(" ", "") in self.others else "initial" if initial else "part" if size <= 2 and kind == "." and low.isalpha() and len(words) > 1 and words[-2].endswith(".") else "no"
         c = line[start] if start < len(line) else ""
         nxt = "end" if not c else "open" if c in OPENERS else "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else "thai" if "฀" <= c <= "๿" else "letter" if c.isalpha() else "mark"
-        space = "gap" if start > end else "tight"
-        closed = "closed" if end - at > len(mark) and mark not in ("lost", "space") else "bare"
-        inside = "in" if any(a < at and end <= b for a, b in spans) else "out"
-        f = ["k=" + kind, f"ks={kind}|{space}", f"kn={kind}|{nxt}|{space}", f"q={inside}|{kind == 'lost'}", f"c={closed}|{nxt}|{space}", f"a={abbreviation}|{nxt}|{kind}", f"s={shape}|{nxt}|{space}|{kind}", f"t={bare}|{kind}", f"ai={abbreviation}|{space}|{kind}"]
-        if kind == "lost":
-            word = NEXT.match(line, start)
-            word = word.group() if word else ""
-            caps = token.isupper() and size > 1
-            f = ["lost", f"q={inside}|lost", f"ln={word.lower()}", f"lp={low}", f"lc={caps}|{word.isupper() and len(word) > 1}", f"lu={token[:1].isupper()}", "two=" + str(line[start + len(word) : start + len(word) + 2].strip()[:1].isupper())]
-        return f
+        closed = mark != "space" and end - at > len(mark)
+        return kind, token, len(words) > 1 and words[-2].endswith("."), nxt, start > end, closed, any(a < at and end <= b for a, b in spans)
+
+    def features(self, context: tuple) -> list[str]:
+        kind, token, after_part, nxt, gap, is_closed, quoted = context
+        low, size = token.lower(), len(token)
+        bare = re.sub(r"\d+", "0", low)
+        shape = "none" if not token else "num" if low[-1:].isdigit() else "one" if size == 1 else "short" if size <= 3 else "long"
+        abbreviation = (
+            "title" if low in self.titles else "other" if low in self.others else "initial" if size == 1 and token.isupper()
+            else "part" if size <= 2 and kind == "." and low.isalpha() and after_part else "no"
+        )
+        space, closed, inside = "gap" if gap else "tight", "closed" if is_closed else "bare", "in" if quoted else "out"
+        return [
+            "k=" + kind, f"ks={kind}|{space}", f"kn={kind}|{nxt}|{space}", f"q={inside}", f"c={closed}|{nxt}|{space}", f"a={abbreviation}|{nxt}|{kind}",
+            f"s={shape}|{nxt}|{space}|{kind}", f"t={bare}|{kind}", f"ai={abbreviation}|{space}|{kind}",
+        ]
+
+    def score(self, context: tuple) -> float:
+        known = self.known.get(context)
+        if known is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            w = self.weights
+            known = self.known[context] = sum(w.get(x, 0.0) for x in self.features(context))
+        return known
 
     # decoding --------------------------------------------------------------------------------------------------------
 
-    def tag(self, features: list[list[str]]) -> list[bool]:
+    def tag(self, scores: list[float]) -> list[bool]:
         """Viterbi over the two tags."""
+        if len(scores) == 1:
+            return [scores[0] > -scores[0]]
         w = self.weights
+        tied = [[w.get(f"{p}>{tag}", 0.0) for p in (0, 1)] for tag in (0, 1)]
         best, back = (0.0, float("-inf")), []
-        for i, f in enumerate(features):
-            emit = sum(w.get(x, 0.0) for x in f)
+        for i, emit in enumerate(scores):
             step = []
             for tag in (0, 1):
-                options = [best[p] + (w.get(f"{p}>{tag}", 0.0) if i else 0.0) for p in (0, 1)]
+                options = [best[p] + (tied[tag][p] if i else 0.0) for p in (0, 1)]
                 p = 0 if options[0] >= options[1] else 1
                 step.append((options[p] + (emit if tag else -emit), p))
             best = (step[0][0], step[1][0])
@@ -182,7 +218,17 @@ class Tagger:
 
     def boundaries(self, line: str) -> list[tuple[int, int]]:
         found = self.candidates(line)
-        return [(end, start) for (end, start, _), tag in zip(found, self.tag([f for _, _, f in found])) if tag]
+        out = [(end, start) for (end, start, _), tag in zip(found, self.tag([self.score(c) for _, _, c in found])) if tag] if found else []
+        if self.begins is None:
+            return out
+        lost = []  # the stretches between marks are chains of their own
+        for a, b in zip([0, *[start for _, start in out]], [*[end for end, _ in out], len(line)]):
+            for at in self.begins.boundaries(line[a:b]):
+                end = a + at
+                while end > a and line[end - 1] == " ":
+                    end -= 1
+                lost.append((end, a + at))
+        return sorted(out + lost)
 
     def sentences(self, text: str | None) -> list[tuple[int, int]]:
         """Spans of the sentences in code points of ``text``."""
@@ -236,32 +282,22 @@ def _dirty(sentences: list[str], rng: random.Random, spaceless: bool, strip: flo
     return line, ends
 
 
-def train(sampled: dict[str, list[str]] | None = None, seed: int = 7) -> Tagger:
-    """Averaged structured perceptron.
-
-    ``sampled``: sentences of real texts by group, whose marks are stripped more often. Without them the tagger goes by marks
-    alone.
-    """
+def train(seed: int = 7) -> Tagger:
+    """Averaged structured perceptron over the places that marks, and spaces of a script without marks, point at."""
     rng = random.Random(seed)
-    sources = [(lang, text.split("|")) for lang, text in TRAIN.items()]
     lines = []
-    run = transducer(True)
-    for lang, items in sources:
+    for lang, text in TRAIN.items():
+        items = text.split("|")
         for _ in range(90):
             lines.append(_dirty([rng.choice(items) for _ in range(rng.randint(2, 5))], rng, lang in ("zh", "ja"), 0.06 if lang not in ("th", "de") else 0.0))
-    for group, items in (sampled or {}).items():
-        for _ in range(min(1500, len(items))):
-            lines.append(_dirty([rng.choice(items) for _ in range(rng.randint(2, 4))], rng, group == "tight", 0.35 if group == "marked" else 0.0))
-    begins = Counter(m.group().lower() for items in [*(sampled or {}).values(), *[t for _, t in sources]] for x in items if (m := NEXT.match(run(x))))
-    inside = Counter(w.lower() for items in (sampled or {}).values() for x in items for w in NEXT.findall(run(x))[1:] if w[0].isupper())
-    tagger = Tagger({}, frozenset(w for w, n in begins.items() if n >= max(LEAST_BEGINS, inside[w])) if sampled else frozenset())
+    tagger = Tagger({})
     examples = []
     for line, ends in lines:
         seen, places = seen_with_map(line)
         stored = {(e if places is None else places.index(e) if e in places else -1) for e in ends}
         found = tagger.candidates(seen.strip())
         if found:
-            examples.append(([f for _, _, f in found], [end in stored for end, _, _ in found]))
+            examples.append(([tagger.features(c) for _, _, c in found], [end in stored for end, _, _ in found]))
     weights: dict = defaultdict(float)
     sums: dict = defaultdict(float)
     tagger.weights = weights
@@ -269,7 +305,7 @@ def train(sampled: dict[str, list[str]] | None = None, seed: int = 7) -> Tagger:
     for _ in range(EPOCHS):
         rng.shuffle(examples)
         for features, truth in examples:
-            got = tagger.tag(features)
+            got = tagger.tag([sum(weights.get(x, 0.0) for x in f) for f in features])
             if got != truth:
                 for i, (f, a, b) in enumerate(zip(features, truth, got)):
                     if a != b:
@@ -283,19 +319,21 @@ def train(sampled: dict[str, list[str]] | None = None, seed: int = 7) -> Tagger:
                             weights[key] += sign
                             sums[key] += sign * t
             t += 1
-    return Tagger({x: w - sums[x] / t for x, w in weights.items() if w - sums[x] / t}, tagger.openers)
+    return Tagger({x: w - sums[x] / t for x, w in weights.items() if w - sums[x] / t})
 
 
-def sample_sentences(texts: DataFrame, first: Tagger, rows: int = SAMPLE_TEXTS) -> dict[str, list[str]]:
-    """Sentences of at most ``rows`` texts (lowest hash of their id), found by their marks, for training without marks."""
-    chosen = texts.where("text is not null").orderBy(F.xxhash64("item_id"), "item_id").limit(rows).select("text").collect()
-    out: dict[str, list[str]] = {"marked": [], "tight": []}
-    for r in chosen:
-        for a, b in first.sentences(r["text"]):
-            s = r["text"][a:b]
-            if 3 < len(s) < 300 and not _is_thai(s):
-                out["tight" if s[-1:] in "。！？" else "marked"].append(s)
-    return {k: sorted(set(v), key=lambda s: zlib.crc32(s.encode())) for k, v in out.items()}
+def sample_sentences(texts: DataFrame, tagger: Tagger, rows: int = SAMPLE_TEXTS) -> list[str]:
+    """Sentences of at most ``rows`` texts of each script (lowest hash of their id), found by their marks, from which the marks
+    are stripped. Ids are ranked without their texts."""
+    script = F.lit("other")
+    for name, letters in reversed(SCRIPTS):
+        script = F.when(F.col("text").rlike(letters), name).otherwise(script)
+    ids = texts.where("text <> ''").select("kind", "item_id", script.alias("script")).dropDuplicates(["kind", "item_id"])
+    rank = F.row_number().over(Window.partitionBy("script").orderBy(F.xxhash64("item_id"), "item_id", "kind"))
+    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= rows).select("kind", "item_id")
+    drawn = texts.select("kind", "item_id", "text").join(F.broadcast(chosen), ["kind", "item_id"], "left_semi").select("text").distinct()
+    found = {r["text"][a:b] for r in drawn.collect() for a, b in tagger.sentences(r["text"])}
+    return sorted(s for s in found if 3 < len(s) < 300)
 
 
 def split_sentences(texts: DataFrame, tagger: Tagger) -> DataFrame:
@@ -319,11 +357,12 @@ def corpus_texts(utterances: DataFrame, versions: DataFrame) -> DataFrame:
     return spoken.unionByName(written).where("item_id is not null")
 
 
-def tagger_for(versions: DataFrame, lost_marks: bool = False) -> Tagger:
-    """``lost_marks``: also split between words where only the next word shows that a sentence begins."""
-    tagger = train(sample_sentences(versions.select(F.col("version_id").alias("item_id"), "text"), train()))
-    return tagger if lost_marks else Tagger(tagger.weights)
+def tagger_for(texts: DataFrame, lost_marks: bool = False) -> Tagger:
+    """``lost_marks``: also tag the characters of stretches without marks, by a model of the texts' own sentences."""
+    tagger = train()
+    return Tagger(tagger.weights, begins.fit(sample_sentences(texts, tagger))) if lost_marks else tagger
 
 
 def sentence_spans(utterances: DataFrame, versions: DataFrame, lost_marks: bool = False) -> DataFrame:
-    return split_sentences(corpus_texts(utterances, versions), tagger_for(versions, lost_marks))
+    texts = corpus_texts(utterances, versions)
+    return split_sentences(texts, tagger_for(texts, lost_marks))
