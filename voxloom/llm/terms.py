@@ -19,12 +19,11 @@ from voxloom.functions import frames
 from voxloom.functions.heavy import heavy_split_join
 from voxloom.llm.canon import transducer
 from voxloom.plans.shared import materialize
-from voxloom.sources.tables import first_delivery
+from voxloom.sources.tables import delivered_once
 
 RARE_RECORDS = 3
 COMMON_SHARE = 0.35
 SMOOTHING = 0.75
-BLOCK_BITS = 8
 
 
 def term_of(word: str | None) -> str:
@@ -54,9 +53,8 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def term_pairs(parsed: DataFrame) -> DataFrame:
     """(term, recording_id, n): partial counts, several rows a pair, written once in the shared folder."""
-    rows = parsed.where("recording_id is not null").select("utt_id", "recording_id", F.shiftright("utt_id", BLOCK_BITS).alias("_block"), "words", "loaded_at")
-    # Neighbouring utterances of a recording meet in one batch, where their terms are combined; a long recording is many blocks.
-    rows = first_delivery(rows.repartition("recording_id", "_block"), ["recording_id", "_block", "utt_id"])
+    rows = delivered_once(parsed.where("recording_id is not null").select("utt_id", "recording_id", "words", "loaded_at"), "utt_id")
+    # Words are counted where their rows lie; neighbouring utterances of a recording are mostly in one batch.
     return materialize(rows.select("recording_id", "words").mapInPandas(_combine, "term string, recording_id string, n long"), "term-pairs")
 
 
@@ -122,14 +120,21 @@ def distinctive_terms(parsed: DataFrame, smoothing: float = SMOOTHING) -> DataFr
     """
     joint = materialize(term_pairs(parsed).groupBy("term", "recording_id").agg(F.sum("n").alias("n")), "term-joint")
     terms = joint.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("records"))
-    contexts = joint.groupBy("recording_id").agg(F.sum("n").alias("size"), F.count("*").alias("pairs"))
-    sums = contexts.agg(F.sum("size").alias("all"), F.sum(F.pow("size", F.lit(smoothing))).alias("smoothed"), F.sum("pairs").alias("pairs")).first()
+    contexts = materialize(joint.groupBy("recording_id").agg(F.sum("n").alias("size"), F.count("*").alias("pairs")), "contexts")
+    sums = contexts.agg(F.sum(F.pow("size", F.lit(smoothing))).alias("smoothed"), F.sum("pairs").alias("pairs"), F.count("*").alias("records")).first()
     if not sums["pairs"]:
         return joint.select("recording_id", "term", "n", F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("records"), F.lit(0.0).alias("ppmi"))
-    scored = heavy_split_join(heavy_split_join(joint, terms, "term", "records", sums["pairs"]), contexts, "recording_id", "pairs", sums["pairs"])
+    scored = heavy_split_join(joint, contexts, "recording_id", "pairs", sums["pairs"], keys=sums["records"])
+    scored = heavy_split_join(scored, terms, "term", "records", sums["pairs"])
     pmi = F.log2(F.col("n") / F.col("occurrences") * F.lit(float(sums["smoothed"])) / F.pow("size", F.lit(smoothing)))
     return scored.select("recording_id", "term", "n", "occurrences", "records", F.greatest(F.lit(0.0), pmi).alias("ppmi"))
 
 
 def found_distinctive(scores: DataFrame, least: int = 4, records: tuple[int, int] = (2, 4)) -> DataFrame:
-    return scores.where((F.col("n") >= least) & F.col("records").between(*records)).select("recording_id", "term")
+    """Terms that are more frequent in a record than its smoothed share of all terms lets expect (ppmi above 0) and, by an exact
+    check, said at least ``least`` times there and in few records.
+
+    In a collection of more than a few records the check implies a positive ppmi, unless one of the other records says the term
+    thousands of times.
+    """
+    return scores.where((F.col("ppmi") > 0) & (F.col("n") >= least) & F.col("records").between(*records)).select("recording_id", "term")
