@@ -139,10 +139,24 @@ def test_repetition_report(spark):
     rows = [("t", "a", "h", spam, 0), ("t", "a", "h", spam, 0), ("t", "b", "h", None, 0), ("t", "c", None, "short text", 0), ("v", "a", "g", "", 0)]
     got = {(r["kind"], r["item_id"]): r for r in repetition.repetition_report(spark.createDataFrame(rows, schema)).collect()}
     assert len(got) == 4 and got["t", "a"]["failed"] and not got["t", "b"]["failed"] and got["t", "b"]["share"] == 0
-    assert got["t", "c"]["host"] == "unknown" and 0 < got["t", "a"]["host_rate"] < 1
+    assert got["t", "c"]["host"] == "unknown" and got["t", "c"]["host_verdict"] == "clean" and 0 < got["t", "a"]["host_rate"] < 1
+    assert got["t", "a"]["host_verdict"] != "clean" and got["t", "b"]["host"] == "h"
+    assert {tuple(r) for r in repetition.found(repetition.repetition_report(spark.createDataFrame(rows, schema))).collect()} == {("t", "a")}
     assert repetition.repetition_report(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_hosts_come_from_recordings_and_clear_no_failing_text(spark):
+    spam = "buy now it is very very cheap and good " * 20
+    rows = [("transcript", f"r{k}", None, spam if k % 50 == 0 else "a short text") for k in range(300)] + [("transcript", "none", None, spam)]
+    texts = spark.createDataFrame(rows, "kind string, item_id string, host string, text string")
+    recordings = spark.createDataFrame([(f"r{k}", "hot" if k < 200 else f"s{k % 9}") for k in range(300)], "id string, speaker_id string")
+    report = repetition.repetition_report(texts, recordings)
+    assert report.count() == 301 and report.where("item_id = 'none'").first()["host"] == "unknown"
+    assert {r["item_id"] for r in repetition.found(report).collect()} == {f"r{k}" for k in range(0, 300, 50)} | {"none"}
+    clean = report.where("host_verdict = 'clean'")
+    assert clean.count() > 0 and clean.where("failed").count() == 0
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(5)
     vocabulary = ["w%d" % i for i in range(60)]

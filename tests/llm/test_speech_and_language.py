@@ -61,6 +61,41 @@ def test_turns(spark):
     assert turns.speaker_turns(t.limit(0), roster).count() == 0
 
 
+def test_a_pause_does_not_bring_a_caption_back():
+    texts = ["we walked down to the harbour", "down to the harbour", "down to the harbour and then home"]
+    got = turns.turns_of([0.0, 60.0, 120.0], [3.0, 63.0, 123.0], texts, [None] * 3, [None] * 3, [], True)
+    assert [t[4] for t in got] == ["we walked down to the harbour", "and then home"] and [t[1] for t in got] == [0, 120000]
+    voices = [(1, "Ada Lind"), (2, "Bo Falk")]
+    got = turns.turns_of([0.0, 4.0], [3.0, 6.0], ["Ada: down to the harbour", "Bo: down to the harbour indeed"], [None] * 2, [None] * 2, voices, False)
+    assert [t[4] for t in got] == ["down to the harbour", "down to the harbour indeed"]
+
+
+def test_turns_begin_at_their_label():
+    times = [[1.0, 1.5, 2.0, 2.5, 3.0], None]
+    got = turns.turns_of([1.0, 9.0], [4.0, 10.0], ["Ada: One two. Bo: Three", "Ada: four"], [None] * 2, [None] * 2, [(1, "Ada"), (2, "Bo")], False, times)
+    assert [(t[0], t[1], t[5]) for t in got] == [(1, 1000, 1000), (2, 1000, 2500), (1, 9000, 9000)]
+
+
+def test_names_and_notes_of_any_length():
+    long = " ".join(f"Name{k}longlonglong" for k in range(12))
+    lab = speech.Labels([(1, long), (2, "Bo Falk")])
+    assert lab.split(f"So. {long}: hi")[-1] == (1, "hi") and lab.split(f"[{long}] hi")[-1] == (1, "hi")
+    assert not speech.has_content("[" + "a very long note about the noise in the hall " * 9 + "]")
+    assert speech.has_content("Morning people everywhere.") and not speech.has_content("*coughs* um *laughs*")
+
+
+def test_utterance_turns(spark):
+    word = "struct<word:string,start:double,end:double,p:double>"
+    segs = [(1.0, 4.0, "Ada: One two. Bo: Three", -0.2, 0.1, [("Ada:", 1.0, 1.1, 1.0), ("One", 1.5, 1.6, 1.0), ("two.", 2.0, 2.1, 1.0), ("Bo:", 2.5, 2.6, 1.0), ("Three", 3.0, 3.1, 1.0)])]
+    t = spark.createDataFrame([("r", None, None, segs, NOW)], f"recording_id string, language string, text string, segments array<struct<start:double,end:double,text:string,avg_logprob:double,no_speech_prob:double,words:array<{word}>>>, loaded_at timestamp_ntz")
+    roster = spark.createDataFrame([("r", 1, "Ada Lind"), ("r", 2, "Bo Falk")], "recording_id string, voice_no int, display_name string")
+    rows = [(1, "r", 0, 1.0, "Ada: One two.", NOW), (1, "r", 0, 1.0, "Ada: One two.", LATER), (2, "r", 1, 3.0, "[00:03] Um, three", NOW), (3, "r", 2, None, "four", NOW), (4, "r", 3, 3.1, "[music]", NOW), (5, "q", 0, 1.0, "x", NOW), (6, "r", 4, 3.2, None, NOW), (7, "r", 5, None, "Ada: five", NOW)]
+    u = spark.createDataFrame(rows, "utt_id long, recording_id string, index int, start double, text string, loaded_at timestamp_ntz")
+    got = {r["utt_id"]: (r["turn_no"], r["voice_no"], r["text"]) for r in turns.utterance_turns(u, t, roster).collect()}
+    assert got == {1: (0, 1, "One two."), 2: (1, 2, "three"), 3: (None, None, "four"), 7: (None, 1, "five")}
+    assert turns.utterance_turns(u.limit(0), t, roster).count() == 0
+
+
 # language ---------------------------------------------------------------------------------------------------------------
 
 

@@ -55,6 +55,13 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(table(spark, d, "transcripts"), table(spark, d, "rosters"), split_pauses=True)
 
 
+def p4_utterances(spark: SparkSession, d: str) -> DataFrame:
+    """The utterances of recordings with several voices, with their turn and voice, in clean text."""
+    from voxloom.llm import turns
+
+    return turns.utterance_turns(table(spark, d, "utterances"), table(spark, d, "transcripts"), table(spark, d, "rosters"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import repetition
 
@@ -64,7 +71,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_repetition(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import repetition
 
-    return repetition.repetition_report(repetition.corpus_texts(table(spark, d, "transcripts"), table(spark, d, "versions")))
+    return repetition.repetition_report(repetition.corpus_texts(table(spark, d, "transcripts"), table(spark, d, "versions")), table(spark, d, "recordings"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +142,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "documents"), table(spark, d, "size_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p7_lost_marks, p8_found, p8_leaks, p9_mix, p9_shares, p9_kept_shares, p9_checks, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p4_utterances, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p7_lost_marks, p8_found, p8_leaks, p9_mix, p9_shares, p9_kept_shares, p9_checks, p10_pieces)}
 SQL: dict[str, str] = {
     "p9_checks": "SELECT source, true AS within_repeats, true AS within_budget, true AS filled FROM source_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0",
 }

@@ -10,7 +10,7 @@ from voxloom.llm.canon import transducer
 # 00:00:05, 00:03, 00:00:36.590 and 00:00:03,260, bare or in brackets, with or without a dash behind; <1m07s>.
 CLOCK = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 TIME_MARK = re.compile(rf"\s*(?:[\[(<【（［]\s*{CLOCK}\s*[\])>】）］](?:\s*[-–—](?=\s))?|<\d+m\d+(?:[.,]\d+)?s>|(?:(?<=^)|(?<=\n)){CLOCK}(?:\s*[-–—])?(?=\s|$))\s*")
-NOTE = re.compile(r"\[[^\[\]]{1,60}\]|\(\([^()]{1,60}\)\)|\([^()]{1,60}\)|<[^<>]{1,60}>|\*[^*\s][^*]{0,40}\*|［[^［］]{1,60}］|（[^（）]{1,60}）|【[^【】]{1,60}】|[♪♫♩♬]+")
+NOTE = re.compile(r"\[[^\[\]]+\]|\(\([^()]+\)\)|\([^()]+\)|<[^<>]+>|\*[^*\s.!?][^*\n.!?]*\*|［[^［］]+］|（[^（）]+）|【[^【】]+】|[♪♫♩♬]+")
 # Hesitations of the eleven languages.
 HESITATIONS = frozenset(
     "uh uhh uhm um umm er erm hmm hm hmmm mm mmm mhm ah eh euh heu hum bah em ehm ähm äh öh öhm hã hã ã э эм э-э хм гм мм ммм эээ "
@@ -26,10 +26,9 @@ def invented(no_speech_prob: float | None, avg_logprob: float | None) -> bool:
     return no_speech_prob is not None and avg_logprob is not None and no_speech_prob > NO_SPEECH and avg_logprob < LOW_LOGPROB
 
 
-MARKED = re.compile(r"[\[(<]\s*(?P<inner>[^\[\]()<>\s][^\[\]()<>]{0,60}?)\s*[\])>]\s*:?\s*|(?P<mark>\s*[:：]|\s+[-–—](?=\s))\s*")
+MARKED = re.compile(r"[\[(<]\s*(?P<inner>[^\[\]()<>\s][^\[\]()<>]*?)\s*[\])>]\s*:?\s*|(?P<mark>\s*[:：]|\s+[-–—](?=\s))\s*")
 NUMBERED = re.compile(r"(?:speaker|spk|s)[ _]?0*([1-9]\d?)", re.IGNORECASE).fullmatch
-TOKEN = re.compile(r"[^\s。！？!?…」”»>]+")
-NAME_TOKENS = 4
+NO_NAME = re.compile(r"[\s。！？!?…」”»>]").match  # what a token of a name is not made of
 
 
 class Labels:
@@ -52,6 +51,7 @@ class Labels:
         self.forms = {k: next(iter(v)) for k, v in forms.items() if len(v) == 1}
         self.initials = {k: next(iter(v)) for k, v in initials.items() if len(v) == 1}
         self.numbers = {no for no, _ in voices}
+        self.tokens = max([2, *(len(k.split()) for k in self.forms)])  # of the longest name
 
     def voice(self, name: str) -> int | None:
         no = self.forms.get(" ".join(name.lower().split()), self.initials.get(name))
@@ -61,17 +61,29 @@ class Labels:
 
     def _before(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
         """(voice, where its label begins) of the longest name that ends at ``hi``."""
-        tokens = list(TOKEN.finditer(text, max(lo, hi - 80), hi))[-NAME_TOKENS:]
-        if not tokens or tokens[-1].end() != hi:
-            return None
-        for first in tokens:
-            if (no := self.voice(text[first.start() : hi])) is not None:
-                return no, first.start()
+        begins, at = [], hi
+        for _ in range(self.tokens):
+            first = at
+            while first > lo and not NO_NAME(text, first - 1):
+                first -= 1
+            if first == at:
+                break
+            begins.append(first)
+            at = first
+            while at > lo and NO_NAME(text, at - 1):
+                at -= 1
+        for first in reversed(begins):
+            if (no := self.voice(text[first:hi])) is not None:
+                return no, first
         return None
 
     def split(self, text: str) -> list[tuple[int | None, str]]:
         """[(voice named by the label before the part, or None, the part)]; labels of unknown voices stay in the text."""
-        out, voice, at = [], None, 0
+        return [(voice, part) for voice, part, _ in self.placed(text)]
+
+    def placed(self, text: str) -> list[tuple[int | None, str, int]]:
+        """The parts with the position at which each begins, its label included."""
+        out, voice, at, first = [], None, 0, 0
         for m in MARKED.finditer(text):
             if m["inner"] is not None:
                 no, begin = self.voice(m["inner"]), m.start()
@@ -79,16 +91,16 @@ class Labels:
                 no, begin = self._before(text, at, m.start()) or (None, 0)
             if no is None:
                 continue
-            out.append((voice, text[at:begin].removesuffix(" ").removesuffix(">>")))
-            voice, at = no, m.end()
-        out.append((voice, text[at:]))
+            out.append((voice, text[at:begin].removesuffix(" ").removesuffix(">>"), first))
+            voice, at, first = no, m.end(), begin
+        out.append((voice, text[at:], first))
         return out
 
 
 ANY_LABEL = re.compile(r"^\s*(?:>>\s*)?(?:\[\s*(?:speaker|spk|s)[ _]?\d{1,2}\s*\]|(?:speaker|spk|s)[ _]?\d{1,2}\s*(?:[:：]|[-–—](?=\s)))\s*", re.IGNORECASE)
 
 
-# A long text that begins with two longer words in a row is speech whatever follows.
+# A text that begins with two longer words in a row is speech whatever follows: no hesitation has five letters.
 PLAIN_START = re.compile(r"\s*[^\W\d_]{5,} [^\W\d_]{5,} ").match
 
 
@@ -99,7 +111,7 @@ def without_marks(text: str) -> str:
 
 def has_content(text: str) -> bool:
     """Whether anything but time marks, sound notes and hesitations is left. Labels must have been split off before."""
-    if len(text) > 60 and PLAIN_START(text):
+    if PLAIN_START(text):
         return True
     found = units.words(without_marks(text))
     return any(w not in HESITATIONS and (w.isascii() or transducer(True)(w) not in HESITATIONS) for w in found)
