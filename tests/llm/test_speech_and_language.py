@@ -117,6 +117,21 @@ def test_held_out_accuracy(spark, identifier):
     assert identifier.identify(["the people in this town " * 20_000])[0][0] == "en"
 
 
+def test_unknown_languages_are_rejected(identifier):
+    foreign = ["Dzisiaj wieczorem pójdziemy nad rzekę, ponieważ sąsiedzi naprawili stary most i łódkę.", "Tänään kävelemme joelle, koska naapurit ovat korjanneet vanhan sillan ja veneen.", "Bugün akşam nehre gideceğiz, çünkü komşular eski köprüyü ve kayığı onardı."]
+    assert [g[0] for g in identifier.identify(foreign)] == [None] * 3
+
+
+def test_document_segments(spark, identifier, monkeypatch):
+    en = "We repaired the old boat in the morning, and the choir found the heavy letter. The whole team painted the small door. "
+    fr = "Les voisins avait trouvé le piano derrière l'école, et nous cherchait encore la lettre. Personne avait réparé le tunnel. "
+    monkeypatch.setattr(language, "identifier_for", lambda _: identifier)
+    d = spark.createDataFrame([(1, en * 2, 0), (2, en * 2 + fr, 0), (3, None, 0), (4, "", 0), (5, "1234", 0)], "doc_id long, text string, seg_no int")
+    got = [tuple(r)[:5] for r in language.document_segments(d).orderBy("doc_id", "seg_no").collect()]
+    assert got == [(1, 0, 0, len(en * 2), "en"), (2, 0, 0, len(en * 2), "en"), (2, 1, len(en * 2), len(en * 2 + fr), "fr")]
+    assert language.stretches("") == [] and language.stretches("No. No.")[-1][1] == 7
+
+
 def test_scores_of_a_batch_equal_single_scores():
     from voxloom.llm.charlm import Models
 

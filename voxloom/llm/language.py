@@ -33,6 +33,10 @@ SAMPLE_CHARS = 120_000
 HELD_OUT = 5
 SLICE_CHARS = 300_000
 PRIOR = 3.0
+LENGTHS = (15, 30, 60, 120)  # letters, for which limits are calibrated
+GRID = (0.01, 0.02, 0.03, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0)
+LEAST_TEMPERATURE, LEAST_PIECES, REACH, OPEN_LIMIT = 0.05, 30, 0.999, 4.5
+STRETCH = 25  # letters of the smallest piece of a document that is judged by itself
 # How languages are named. The first is the code.
 NAMES = {
     "en": "en eng english", "fr": "fr fra fre french français francais", "es": "es spa spanish español espanol castellano",
@@ -94,11 +98,35 @@ def word_count(text: str) -> float:
     return float(max(1, len(text.split())))
 
 
+def rejection_limits(ce: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """By language, half-way between what nearly all texts of the language reach and what a text of an unknown language usually has.
+
+    ``ce``: cross-entropies of pieces of known languages by model. A piece shows what an unknown language does when the model of
+    its own is left out: the best of the others would take it. Pieces that another model fits better are mislabelled and left
+    out.
+    """
+    here = np.arange(len(truth))
+    own = ce[here, truth]
+    others = ce.copy()
+    others[here, truth] = np.inf
+    nearest = others.min(axis=1)
+    right = own <= nearest
+    usual = np.array([np.median(own[right & (truth == j)]) if (right & (truth == j)).any() else np.nan for j in range(ce.shape[1])])
+    middle = np.nanmedian(usual) if right.any() else np.nan
+    if not np.isfinite(middle):
+        return np.full(ce.shape[1], OPEN_LIMIT)
+    usual = np.where(np.isfinite(usual), usual, np.nanmax(usual))
+    reach = np.quantile(own[right] - usual[truth[right]], REACH)
+    foreign = np.median(nearest[np.isfinite(nearest)]) - middle if np.isfinite(nearest).any() else reach
+    return usual + max(reach, (reach + foreign) / 2)
+
+
 @dataclass
 class Identifier:
     models: Models
-    limit: np.ndarray  # by language: the cross-entropy beyond which a text is rejected
-    temperature: float
+    limit: np.ndarray  # by length (LENGTHS) and language: the cross-entropy beyond which a text is rejected
+    temperature: float  # of decisions
+    sharpness: float  # of confidences
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]]) -> Identifier:
@@ -128,37 +156,44 @@ class Identifier:
         train, test = [r for i, r in enumerate(rows) if i % HELD_OUT], rows[::HELD_OUT]
         models = Models.fit(group(train))
         n = len(models.languages)
-        pieces = [(models.languages.index(lang), text[i : i + 60]) for lang, text in test for i in range(0, min(len(text), 600), 60) if len(text[i : i + 60]) >= 30]
-        limit = np.full(n, 4.5)
-        temperature = 0.3
-        if pieces:
+        limit = np.full((len(LENGTHS), n), OPEN_LIMIT)
+        temperature = sharpness = 0.3
+        for k, size in enumerate(LENGTHS):
+            pieces = [(models.languages.index(lang), text[i : i + size]) for lang, text in test for i in range(0, min(len(text), 10 * size), size) if len(text[i : i + size]) >= size // 2]
+            if len(pieces) < LEAST_PIECES:
+                continue
             ce = models.cross_entropy([t for _, t in pieces])
             truth = np.array([j for j, _ in pieces])
-            own = ce[np.arange(len(truth)), truth]
-            for j in range(n):
-                if (truth == j).sum() >= 5:
-                    x = own[truth == j]
-                    limit[j] = max(3.0, x.mean() + 6 * x.std())
-            sizes = np.array([len(t) for _, t in pieces])
-            fits = []
-            for t in (0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0):
-                z = -ce * sizes[:, None] * t
-                z -= z.max(axis=1, keepdims=True)
-                fits.append((float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth]).mean()), t))
-            temperature = min(fits)[1]
-        return cls(models, limit, temperature)
+            limit[k] = rejection_limits(ce, truth)
+            if size == 60:
+                sizes = np.array([len(t) for _, t in pieces])
+                fits = []
+                for t in GRID:
+                    z = -ce * sizes[:, None] * t
+                    z -= z.max(axis=1, keepdims=True)
+                    fits.append((float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth]).mean()), t))
+                sharpness = min(fits)[1]
+                temperature = max(sharpness, LEAST_TEMPERATURE)
+        return cls(models, limit, temperature, sharpness)
+
+    def allowed(self, letters: int) -> np.ndarray:
+        """By language, the cross-entropy up to which a text of so many letters is accepted."""
+        return self.limit[max(0, int(np.searchsorted(LENGTHS, letters, "right")) - 1)]
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy, tempered log likelihood) by text and language, of texts as letters_of gives them."""
         ce = self.models.cross_entropy(texts)
         return ce, -ce * (np.array([len(t) for t in texts]) + 1)[:, None] * self.temperature if len(texts) else ce
 
-    def judge(self, ce: np.ndarray, loglik: np.ndarray) -> tuple[str | None, float]:
+    def confidence(self, loglik: np.ndarray) -> np.ndarray:
+        z = np.exp((loglik - loglik.max()) * (self.sharpness / self.temperature))
+        return z / z.sum()
+
+    def judge(self, ce: np.ndarray, loglik: np.ndarray, letters: int) -> tuple[str | None, float]:
         j = int(ce.argmin())
-        z = np.exp(loglik - loglik.max())
-        if ce[j] > self.limit[j]:
+        if ce[j] > self.allowed(letters)[j]:
             return None, 0.0
-        return self.models.languages[j], float(z[j] / z.sum())
+        return self.models.languages[j], float(self.confidence(loglik)[j])
 
     def identify(self, texts: list[str | None]) -> list[tuple[str | None, float]]:
         seen = [letters_of(t) if t else "" for t in texts]
@@ -166,7 +201,7 @@ class Identifier:
         ce, ll = self.scores([seen[i] for i in some])
         out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
         for k, i in enumerate(some):
-            out[i] = self.judge(ce[k], ll[k])
+            out[i] = self.judge(ce[k], ll[k], len(seen[i]))
         return out
 
     def transcripts(self, batch: list[list[str]]) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
@@ -186,7 +221,7 @@ class Identifier:
             votes: Counter = Counter()
             for x in xs:
                 j = int(ce[x].argmin())
-                if ce[x, j] <= self.limit[j]:
+                if ce[x, j] <= self.allowed(len(flat[x][2]))[j]:
                     votes[j] += flat[x][3]
             if not votes:
                 continue
@@ -196,13 +231,11 @@ class Identifier:
                 z = ll[x].copy()
                 z[main] += PRIOR
                 j = int(z.argmax())
-                if j != main and ce[x, j] <= self.limit[j]:
-                    e = np.exp(z - z.max())
-                    foreign.append((flat[x][1], self.models.languages[j], float(e[j] / e.sum())))
+                if j != main and ce[x, j] <= self.allowed(len(flat[x][2]))[j]:
+                    foreign.append((flat[x][1], self.models.languages[j], float(self.confidence(z)[j])))
             mine = [x for x in xs if int(ce[x].argmin()) == main]
-            total = ll[mine].sum(axis=0)
-            e = np.exp(total - total.max())
-            out[i] = (self.models.languages[main], float(e[main] / e.sum()) * votes[main] / sum(votes.values()), foreign)
+            sure = float(self.confidence(ll[mine].sum(axis=0))[main])
+            out[i] = (self.models.languages[main], sure * votes[main] / sum(votes.values()), foreign)
         return out
 
 
@@ -303,3 +336,62 @@ def document_languages(documents: DataFrame) -> DataFrame:
             yield frames.frame(names, [(d, *v) for d, v in zip(ids, shared.value.identify(texts))])
 
     return spread_out(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id long, lang string, confidence double")
+
+
+PIECE = re.compile(r"[^\n.!?…。！？।]*[\n.!?…。！？।]+\s*|[^\n.!?…。！？।]+$")
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Pieces of a text, cut after lines and sentences, of STRETCH letters or more but for a last one."""
+    out, begin, letters = [], 0, 0
+    for m in PIECE.finditer(text):
+        letters += sum(map(str.isalpha, m.group()))
+        if letters >= STRETCH:
+            out.append((begin, m.end()))
+            begin, letters = m.end(), 0
+    if begin < len(text):
+        out.append((begin, len(text)))
+    return out
+
+
+def document_segments(documents: DataFrame) -> DataFrame:
+    """(doc_id, seg_no, start_pos, end_pos, lang, confidence): every document cut where its language changes.
+
+    A document in one language is one segment; positions are code points and cover the text. Pieces in the main language of the
+    document have its confidence. Null texts, and documents in no known language, give no row.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(identifier_for(documents))
+    names = ["doc_id", "seg_no", "start_pos", "end_pos", "lang", "confidence"]
+
+    def segments(doc, places, verdict) -> list[tuple]:
+        main, sure, foreign = verdict
+        if main is None:
+            return []
+        other = {k: (lang, c) for k, lang, c in foreign}
+        out: list[list] = []
+        for k, (a, b) in enumerate(places):
+            lang, c = other.get(k, (main, sure))
+            if out and out[-1][4] == lang:
+                out[-1][3], out[-1][5] = b, min(out[-1][5], c)
+            else:
+                out.append([doc, len(out), a, b, lang, c])
+        return [tuple(r) for r in out]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held, size = [], 0
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                if not isinstance(text, str) or not text:
+                    continue
+                held.append((doc, text, stretches(text)))
+                size += len(text)
+                if size > SLICE_CHARS:
+                    yield judged(held)
+                    held, size = [], 0
+            yield judged(held)
+
+    def judged(held: list) -> pd.DataFrame:
+        verdicts = shared.value.transcripts([[text[a:b] for a, b in places] for _, text, places in held])
+        return frames.frame(names, [row for (doc, _, places), v in zip(held, verdicts) for row in segments(doc, places, v)])
+
+    return spread_out(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id long, seg_no int, start_pos int, end_pos int, lang string, confidence double")

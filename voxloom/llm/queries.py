@@ -43,6 +43,13 @@ def p3_document_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.document_languages(table(spark, d, "documents"))
 
 
+def p3_document_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every document cut where its language changes."""
+    from voxloom.llm import language
+
+    return language.document_segments(table(spark, d, "documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.llm import turns
 
@@ -142,7 +149,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "documents"), table(spark, d, "size_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p4_found, p4_turns, p4_utterances, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p7_lost_marks, p8_found, p8_leaks, p9_mix, p9_shares, p9_kept_shares, p9_checks, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_term_report, p3_found, p3_languages, p3_document_languages, p3_document_segments, p4_found, p4_turns, p4_utterances, p5_found, p5_repetition, p6_found, p6_term_scores, p7_found, p7_lost_marks, p8_found, p8_leaks, p9_mix, p9_shares, p9_kept_shares, p9_checks, p10_pieces)}
 SQL: dict[str, str] = {
     "p9_checks": "SELECT source, true AS within_repeats, true AS within_budget, true AS filled FROM source_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0",
 }
