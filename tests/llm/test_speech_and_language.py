@@ -279,7 +279,7 @@ def test_mixture(spark):
 
 def test_gaps_are_filled_by_what_fits(spark, monkeypatch):
     rng = random.Random(8)
-    for k in range(2):
+    for k in range(1):
         docs = [(i, "word " * rng.choice([3, 7, 200, 900]), rng.choice("ab")) for i in range(60)]
         d = spark.createDataFrame(docs, "doc_id long, text string, source string")
         targets = spark.createDataFrame([("a", 0.8, 2), ("b", 0.2, 1)], "source string, target_share double, max_repeats int")
@@ -287,6 +287,9 @@ def test_gaps_are_filled_by_what_fits(spark, monkeypatch):
             assert all(tuple(r)[1:] == (True, True, True) for r in mixing.checks(d, targets, seed=k).collect())
         weights = mixing.materialize(mixing.weighed(d, targets, seed=k), "weights")
         short = {tuple(r) for r in mixing.choose(weights, targets)[0].collect()}
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "NEAR", 1)  # many stretches
+            assert all(tuple(r)[1:] == (True, True, True) for r in mixing.checks(d, targets, seed=k).collect())
         with monkeypatch.context() as m:
             m.setattr(mixing, "ONE_TASK", 0)
             assert {tuple(r) for r in mixing.choose(weights, targets)[0].collect()} == short

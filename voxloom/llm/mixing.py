@@ -34,6 +34,7 @@ from voxloom.plans.shared import materialize
 BITS, LEVELS = 12, 3
 PLACES = 1 << BITS * LEVELS
 ONE_TASK = 1_000_000  # rows
+MOST_TOKENS = 1 << 62
 NEAR = 64  # how many times what is open the first stretch searched for fillers is expected to hold
 
 
@@ -103,19 +104,19 @@ def plan(weights: DataFrame, targets: DataFrame, total_tokens: int | None = None
         r["threshold"], r["fills"] = 0, []
     by = {r["source"]: r for r in rows if r["gap"] > 0}
     steps = tuple(1 << BITS * k for k in reversed(range(LEVELS)))
-    for s, (at, used, _) in thresholds(weights, {s: (0, PLACES, r["gap"], r["gap"]) for s, r in by.items()}, steps).items() if by else ():
+    for s, (at, used, _) in thresholds(weights, {s: (0, PLACES, r["gap"], MOST_TOKENS) for s, r in by.items()}, steps).items() if by else ():
         by[s]["threshold"], by[s]["gap"] = at, by[s]["gap"] - used
     _fill_gaps(weights, by)
     return rows
 
 
 def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The fillers of a short stretch (source, place, tokens, gap) in one go: documents in order of place, each that still fits."""
-    rows = pd.concat([*batches, pd.DataFrame({"source": [], "place": [], "tokens": [], "gap": []})])
+    """The fillers of a short stretch (source, place, tokens, low, gap) in one go: documents in order of place, each that still fits."""
+    rows = pd.concat([*batches, pd.DataFrame({"source": [], "place": [], "tokens": [], "low": [], "gap": []})])
     out = []
     for source, mine in rows.groupby("source", sort=False):
         gap = most = int(mine["gap"].iloc[0])
-        low, used = 0, 0
+        low, used = int(mine["low"].iloc[0]), 0
         for place, here in mine.sort_values("place").groupby("place"):
             sizes, place = here["tokens"].astype("int64"), int(place)
             want = int(sizes[sizes <= most].sum())
@@ -147,7 +148,7 @@ def _fill_gaps(weights: DataFrame, by: dict[str, dict]) -> None:
         near = materialize(near, "near")
         open_at = dict(begin)
         if near.count() <= ONE_TASK:
-            for r in near.join(F.broadcast(frame.select("source", F.col("most").alias("gap"))), "source").coalesce(1).mapInPandas(_greedy, "source string, low long, high long, most long, used long").collect():
+            for r in near.join(F.broadcast(frame.select("source", "low", F.col("most").alias("gap"))), "source").coalesce(1).mapInPandas(_greedy, "source string, low long, high long, most long, used long").collect():
                 by[r["source"]]["fills"].append((r["low"], r["high"], r["most"]))
                 by[r["source"]]["gap"] -= r["used"]
             open_at = {}
