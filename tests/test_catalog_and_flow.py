@@ -1,5 +1,6 @@
 """Segmentation, rhetoric, catalogue, store, generation, client, streaming."""
 
+import json
 import os
 import random
 import re
@@ -117,6 +118,11 @@ def test_verification(spark):
     items = spark.createDataFrame(rows, "annotation_id long, recording_id string, device string, utterances array<int>, quote string")
     got = {r["annotation_id"]: (r["kept"], r["reason"], r["lines"], r["t"]) for r in rhetoric.verify(items, u).collect()}
     assert got[1] == (True, None, [0], 1.5) and got[2] == (True, None, [1], 2.5)
+    long = spark.createDataFrame([("r", k, float(k), f"line{k} " + "word " * 100) for k in range(9)], "recording_id string, index int, start double, text string")
+    asked = [(1, "r", "list", [0], "line3 word"), (2, "r", "list", [3], "line3 word ... line4"), (3, "r", "list", [8], "word line1 word"), (4, "r", "list", [0], "line3 word ... line4"), (5, "r", "list", [0], "line0 ... line8")]
+    far = {r["annotation_id"]: (r["kept"], r["lines"][:1]) for r in rhetoric.verify(spark.createDataFrame(asked, items.schema), long).collect()}
+    # Chunks are lines 0-3, 4-7 and 8: a quote may cross lines but not chunks, and is found where the claim is wrong.
+    assert far[1] == (True, [0]) and far[2][0] is False and far[3] == (True, []) and far[4][0] is False and far[5][0] is False
     assert [got[k][1] for k in (3, 4, 5, 6)] == ["quote not found", "unknown device", "empty quote", "quote not found"]
     assert len(DEVICES) == 11 and len(rhetoric.cache_tag(1, "m", False)) == 8
 
@@ -166,7 +172,7 @@ def test_store(spark, tmp_path):
     assert s.ensure_speaker("ada lind", "fr") == "ada-lind" and s.read("speakers").first()["languages"] == ["fr"]
     assert s.ensure_speaker("Bo") == "bo"
     new = spark.createDataFrame([tuple(c for k, c in enumerate(r) if k != 1) for r in REC], ", ".join(c for k, c in enumerate(schema.RECORDING.split(", ")) if k != 1))
-    assert {tuple(r) for r in s.add_recordings(new).collect()} == {("u1", "added"), ("u2", "added"), ("u3", "failed")}
+    assert {tuple(r) for r in s.add_recordings(new).collect()} == {("u1", "added"), ("u2", "already there"), ("u3", "failed")}
     assert s.read("recordings").count() == 1
     assert {r["outcome"] for r in s.add_recordings(new.where("source <> 'u3'")).collect()} == {"already there"}
     s.remove_recording("s", "a") if s.read("recordings").first()["id"] == "a" else s.remove_recording("s", "b")
@@ -195,26 +201,26 @@ def test_media(spark, tmp_path):
             p.write_bytes(b"x")
     assert [os.path.basename(r["path"]) for r in media.media_files(spark, str(tmp_path)).collect()] == ["a.wav", "d.mp3", "b.WAV"]
     assert media.durations(spark, str(tmp_path)).first()["duration_s"] == 0.5
-    assert media.wav_seconds(b"nope") is None and media.digests(spark, str(tmp_path)).count() == 4
+    assert media.wav_seconds(b"nope") is None and media.digests(spark, str(tmp_path)).count() == 3
 
 
-def test_selection_and_loop():
-    P = generation.Passage
-    pool = [P("a", 0, "opening", ()), P("b", 0, "opening", ("humor",)), P("a", 1, "middle", ("humor",)), P("c", 1, "middle", ("contrast",)), P("b", 9, "closing", ()), P("a", 9, "closing", ())]
-    got = generation.choose(pool)
-    assert [(p.recording_id, p.role) for p in got] == [("b", "opening"), ("c", "middle"), ("a", "middle"), ("b", "closing")]
-    assert generation.describe(pool[2]) == "teases" and generation.describe(pool[5]).startswith("how a recording ends")
-    heats = []
+def plain_choice(candidates, n=generation.PASSAGES):
+    left, picked = list(candidates), []
 
-    def chat(messages, heat):
-        heats.append(heat)
-        return f"draft {len(heats)}"
+    def take(role, score):
+        pool = sorted((p for p in left if p.role == role), key=score, reverse=True)
+        used = {p.recording_id for p in picked}
+        fresh = [p for p in pool if p.recording_id not in used] or pool
+        if fresh:
+            picked.append(fresh[0])
+            left.remove(fresh[0])
+        return bool(fresh)
 
-    issue = {"metric": "m", "expected": "e", "got": "g", "feedback": "f", "weight": 2.0}
-    made = generation.generate(chat, lambda ts: [[issue] * (2 if ts[0] == "draft 1" else 1)], str.strip, "sys", "boats", revisions=2)
-    assert made.text == "draft 3" and heats == [0.8, 0.8 * 0.75, 0.8 * 0.75] and [v.score for v in made.versions] == [4.0, 2.0, 2.0]
-    made = generation.generate(chat, lambda ts: [[]], str.strip, "sys", "boats", revisions=5)
-    assert len(made.versions) == 1 and made.file_name().endswith("-boats") and '"text"' in made.to_json()
+    take("opening", lambda p: len(p.devices))
+    while len(picked) < n - 1 and take("middle", lambda p: (len(set(p.devices) - {d for q in picked for d in q.devices}), len(p.devices))):
+        pass
+    take("closing", lambda p: len(p.devices))
+    return picked[:n]
 
 
 def test_selection_on_the_cluster_equals_one_pass(spark):
@@ -222,7 +228,24 @@ def test_selection_on_the_cluster_equals_one_pass(spark):
     for size in (0, 1, 3, 40, 40):
         rows = sorted({(f"r{rng.randint(0, 5)}", k): (rng.choice(["opening", "middle", "middle", "closing"]), rng.sample(["humor", "contrast", "analogy", "anecdote"], rng.randint(0, 3))) for k in range(size)}.items())
         df = spark.createDataFrame([(rec, k, role, d) for (rec, k), (role, d) in rows], "recording_id string, window int, role string, devices array<string>")
-        assert generation.choose_from(df) == generation.choose([generation.Passage(rec, k, role, tuple(d)) for (rec, k), (role, d) in rows])
+        assert generation.pick_passages(df) == plain_choice([generation.Passage(rec, k, role, tuple(d)) for (rec, k), (role, d) in rows])
+    P = generation.Passage
+    assert P("a", 1, "middle", ("humor",)).describe() == "teases" and P("a", 9, "closing", ()).describe().startswith("how a recording ends")
+
+
+def test_rounds_of_drafts(spark):
+    seen = []
+
+    def ask(messages, heat):
+        seen.append((len(messages), heat))
+        return f"draft {len(seen)}"
+
+    issue = {"metric": "m", "expected": "e", "got": "g", "feedback": "f", "weight": 2.0}
+    made = list(generation.rounds(ask, lambda t: (t, [issue] * (2 if t == "draft 1" else 1)), "sys", "boats", revisions=2))
+    assert [d[:3] for d in made] == [(0, "draft 1", 4.0), (1, "draft 2", 2.0), (2, "draft 3", 2.0)] and seen == [(2, 0.8), (3, 0.8 * 0.75), (3, 0.8 * 0.75)]
+    row = generation.generation_row(spark, made, "s", "Boats at night", "m1", "sys").first()
+    assert row["text"] == "draft 3" and row["best"] == 2 and "-boats-at-night-" in row["generation_id"] and len(row["versions"]) == 3
+    assert len(list(generation.rounds(ask, lambda t: (t, []), "sys", "boats", revisions=5))) == 1
 
 
 def test_examples_come_from_all_recordings(spark, tmp_path):
@@ -235,32 +258,142 @@ def test_examples_come_from_all_recordings(spark, tmp_path):
     assert picked[1].text.startswith("We joke about number 1.")
 
 
+def answered(content):
+    return client.Reply(200, json.dumps({"choices": [{"message": {"content": content}}]}))
+
+
 def test_client():
-    seen = []
+    seen, waits = [], []
 
-    def transport(url, body, headers, timeout):
+    def send(url, body, headers, timeout):
         seen.append((url, body, headers))
         if body is None:
-            return {"data": [{"id": "m1"}]}
+            return client.Reply(200, '{"data": [{"id": "m1"}, {"id": "m2"}]}')
         if "chat_template_kwargs" in body:
-            raise client.ChatError("HTTP 400: unknown 'chat_template_kwargs'")
-        return {"choices": [{"message": {"content": "<think>no</think> {\"items\": []}"}}]}
-
-    c = client.Client(client.Settings(url="http://localhost:1/v1/"), transport, lambda s: None)
-    assert c.json("p", client.answer_schema(DEVICES)) == {"items": []} and c.refused == {"chat_template_kwargs"}
-    assert seen[0][0] == "http://localhost:1/v1/models" and "Authorization" not in seen[-1][2]
-    with pytest.raises(client.ChatError):
-        client.Client(client.Settings(), lambda *a: {"choices": [{"message": {"content": ""}}], "data": [{"id": "m"}]}, lambda s: None).chat([])
-    s = client.Settings(url="https://api.openai.com")
-    assert s.hosted and s.key({"OPENAI_API_KEY": "k"}) == "k" and client.Settings().key({"OPENAI_API_KEY": "k"}) is None
-    assert not client.Settings(url="https://notopenai.com").hosted
+            return client.Reply(400, '{"error": {"param": "chat_template_kwargs"}}')
+        return answered('<think>no</think> {"items": []}')
+
+    c = client.Chat({"url": "http://localhost:1/v1/"}, send, waits.append)
+    assert c.answer_as("p", generation.answer_schema()) == {"items": []} and c.left_out == {"chat_template_kwargs"} and c.model == "m1"
+    assert seen[0][0] == "http://localhost:1/v1/models" and "Authorization" not in seen[-1][2] and not waits
+    for reply in (answered(""), client.Reply(0, "no connection"), client.Reply(500, "x"), client.Reply(200, "[]")):
+        with pytest.raises(client.ChatError):
+            client.Chat({"model": "m"}, lambda *a, r=reply: r, waits.append).ask([])
+    assert waits[:3] == list(client.PAUSES)
+    replies = [answered('{"items": [{"device": "list"}]}'), answered("no json"), answered('{"items": []}')]
+    assert client.Chat({"model": "m"}, lambda *a: replies.pop(0), waits.append).answer_as("p", generation.answer_schema()) == {"items": []}
+    hosted = {"url": "https://api.openai.com", "model": "m"}
+    assert client.server_of({**client.DEFAULTS, **hosted}).length_field == "max_completion_tokens"
+    assert client.key_of({**client.DEFAULTS, **hosted}, {"OPENAI_API_KEY": "k"}) == "k" and client.key_of(client.DEFAULTS, {"OPENAI_API_KEY": "k"}) is None
+    assert client.server_of({**client.DEFAULTS, "url": "https://notopenai.com"}).lists_models
+    assert client.refused(client.Reply(400, "unknown 'max_completion_tokens'"), {"max_completion_tokens": 1}) == "max_completion_tokens"
+    assert client.refused(client.Reply(400, "bad request"), {"temperature": 1}) is None
 
 
 def test_settings_layers(tmp_path):
     f = tmp_path / "c.toml"
     f.write_text('[llm]\nurl = "http://a"\nmodel = "m"\nodd = 1\n')
-    s = client.Settings.load(str(f), {"VOXLOOM_LLM_MODEL": "n"}, url=None, timeout_s=3.0)
-    assert (s.url, s.model, s.timeout_s) == ("http://a", "n", 3.0)
+    s = client.settings(str(f), {"VOXLOOM_LLM_MODEL": "n"}, url=None, timeout_s=3.0)
+    assert (s["url"], s["model"], s["timeout_s"], s["max_tokens"]) == ("http://a", "n", 3.0, 4096) and "odd" not in s
+
+
+def test_replacing_a_table_keeps_it_whole(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/store")
+    s.add_speaker("Ada Lind")
+    s.add_speaker("Bo Falk")
+    before = s.read("speakers")
+    s.write("speakers", before.where("id = 'bo-falk'"))  # read from the table it replaces
+    assert [r["id"] for r in s.read("speakers").collect()] == ["bo-falk"]
+    bad = spark.range(1).select(F.raise_error(F.lit("crash")).cast("string").alias("id"))
+    with pytest.raises(Exception, match="crash"):
+        s.write("speakers", bad)
+    assert [r["id"] for r in s.read("speakers").collect()] == ["bo-falk"]
+    rows = [(f"t{k}", f"u{k % 3}", "lecture", "prepared", f"h{k % 4}") for k in range(6)]
+    new = spark.createDataFrame(rows, "title string, source string, genre string, register string, sha256 string").withColumn("speaker_id", F.lit("s"))
+    for c in schema.top_level(schema.RECORDING):
+        name, kind = c.split()
+        if name not in [*new.columns, "id"]:
+            new = new.withColumn(name, F.lit(None).cast(kind))
+    out = s.add_recordings(new.coalesce(1)).groupBy("outcome").count().collect()
+    assert {r["outcome"]: r["count"] for r in out} == {"added": 3, "already there": 3} and s.read("recordings").count() == 3
+
+
+def test_cards_edited_by_hand_stay(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/store")
+    card = lambda text: spark.createDataFrame([("s", text), ("t", text)], "speaker_id string, document string")
+    assert {r["fresh"] for r in s.save_documents("cards", "en", card("one")).collect()} == {True}
+    mine = F.when(F.col("speaker_id") == "s", "mine").otherwise(F.col("document"))
+    s.write("cards", s.read("cards").withColumn("document", mine))
+    assert {(r["speaker_id"], r["document"], r["fresh"]) for r in s.save_documents("cards", "en", card("two")).collect()} == {("s", "mine", False), ("t", "two", True)}
+    assert {(r["speaker_id"], r["document"]) for r in s.save_documents("cards", "en", card("three"), force=True).collect()} == {("s", "three"), ("t", "three")}
+    s.save_documents("cards", "fr", card("quatre"))
+    assert s.read("cards").count() == 4
+
+
+class FakeModel(client.Chat):
+    """Finds a list in every chunk, quoting its first line, and something never said."""
+
+    def __init__(self):
+        super().__init__({"model": "fake"}, send=None)
+
+    def ask(self, messages, temperature=0.8, schema=None, attempts=3):
+        if schema is None:
+            return "We saw the boat and the bridge."
+        line = re.search(r"Lines:\n\[(\d+)\] (.*)", messages[0]["content"])
+        return {"items": [{"device": "list", "utterances": [int(line[1])], "quote": line[2], "why": "x"}, {"device": "humor", "utterances": [0], "quote": "never said by anybody", "why": "x"}]}
+
+
+def test_annotation_run(spark, tmp_path):
+    lines = []
+    root = f"{tmp_path}/store"
+    say = lambda *argv, **kw: cli.run(cli.parser().parse_args(["--root", root, *argv]), spark, lines.append, **kw)
+    say("corpus", "init", "Ada", "--language", "en")
+    s = cli.Session(spark, root)
+    said = [(rec, i, f"line {rec} {i} we saw the boat and the bridge and the lamp " + "word " * 40) for rec in "ab" for i in range(20)]
+    s.store.write("utterances", spark.createDataFrame([("ada", rec, ord(rec), i, float(i), i + 0.5, t.strip(), "end") for rec, i, t in said], schema.UTTERANCE))
+    assert say("rhetoric", "ada", "--block", "3", chat=FakeModel()) == 0
+    chunks = segment.chunks(s.utterances()).count()
+    assert lines[-1] == f"{chunks} annotations" and s.store.read("annotations").where("device = 'list' and t is not null").count() == chunks
+    asked = len(lines)
+    assert say("rhetoric", "ada", chat=FakeModel()) == 0 and lines[asked:] == [f"{chunks} annotations"]  # nothing waits
+    assert say("generate", "ada", "boats", chat=FakeModel()) == 0 and lines[-1] == "We saw the boat and the bridge."
+    made = s.store.read("generations").first()
+    assert made["model"] == "fake" and made["speaker_id"] == "ada" and s.store.profile("en").count() == 1 and s.store.read("cards").count() == 1
+
+
+def test_transcription_run(spark, tmp_path):
+    lines = []
+    s = cli.Session(spark, f"{tmp_path}/store")
+    s.store.add_speaker("Ada")
+    row = lambda i: tuple({"speaker_id": "ada", "id": i, "title": i, "source": i, "genre": "lecture", "register": "prepared", "audio_path": f"{i}.wav", "sha256": "h" + i}.get(c.split()[0]) for c in schema.top_level(schema.RECORDING))
+    s.store.write("recordings", spark.createDataFrame([row("a"), row("b")], schema.RECORDING))
+
+    def backend():
+        return lambda path, lang: {"model": "fake", "language": lang, "created_at": "2024", "segments": [{"start": 0.0, "end": 1.0, "text": f" of {path} ", "words": [{"word": "Hello.", "start": 0.0, "end": 0.5, "p": 1.0}]}]}
+
+    sure = lambda p: lambda df: df.select(F.col("id").alias("recording_id"), F.lit("fr").alias("lang"), F.lit(p).alias("prob"))
+    assert s.transcribe([], None, out=lines.append) == 0 and lines == ["ada/a", "ada/b"]
+    with pytest.raises(LookupError):
+        s.transcribe(["a", "x"], backend)
+    with pytest.raises(CatalogError):
+        s.transcribe([], backend, sure(0.4))
+    assert s.transcribe(["a"], backend, sure(0.9)) == 1 and s.transcribe([], backend, sure(0.9)) == 1 and s.transcribe([], backend, sure(0.9)) == 0
+    got = s.store.read("transcripts").orderBy("recording_id").collect()
+    assert [(r["recording_id"], r["language"], r["text"], r["source_sha256"]) for r in got] == [("a", "fr", "of a.wav", "ha"), ("b", "fr", "of b.wav", "hb")]
+    assert s.analyze(0.5) == 2 and [r["rec_ord"] for r in s.store.read("utterances").orderBy("recording_id").collect()] == [1, 2]
+
+
+def test_hooks_report_what_fails(spark):
+    df = spark.createDataFrame([("http://x/a",), ("local.wav",), ("http://x/bad",)], "source string")
+
+    def download(url):
+        if url.endswith("bad"):
+            raise OSError("gone")
+        return "/tmp/" + url[-1]
+
+    assert {(r["source"], r["path"], r["error"]) for r in media.fetched(df, download).collect()} == {("http://x/a", "/tmp/a", None), ("local.wav", "local.wav", None), ("http://x/bad", None, "OSError: gone")}
+    made = media.normalised(spark.createDataFrame([("file:/a.mp3",)], "path string"), "/out", lambda a, b: None).first()
+    assert made["audio_path"].startswith("/out/") and made["error"] is None
 
 
 def test_edited_cards_are_kept():

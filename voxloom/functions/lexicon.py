@@ -245,7 +245,7 @@ FRENCH = Lexicon(
     frozenset("et puis alors donc allez bon n' ne".split()), frozenset("très vraiment bien trop non oui si tout beaucoup".split()), frozenset(("vous", "nous")),
     frozenset("il y a que qu' j' ai et c' c'est est avec de l' vous êtes ce si avez la le les un une à en je on ça des du d' qui".split()),
     ["cependant", "néanmoins", "en outre", "ainsi", "par conséquent"], True,
-    dict(negation_card="Leave out the *ne* of negation {freq} (« c'est pas », « faut pas ») and keep it elsewhere.", too_formal="Too formal: leave out some « ne » (« c'est pas », « faut pas »).", too_casual="Too casual: keep « ne » in most negations.", negation_label="negations with *ne*", chain_words="« et », « donc », « là »", fragment="« Voilà. »"),
+    dict(negation_card="In {freq} of the negations *ne* is swallowed (« j'sais pas », « y a pas »); elsewhere it is spoken.", too_formal="The draft says every « ne »; this voice swallows many of them (« j'sais pas »).", too_casual="The draft swallows « ne » where this voice mostly speaks it.", negation_label="negations in which *ne* is spoken", chain_words="« et », « donc », « là »", fragment="« Voilà. »"),
     frozenset("pas jamais rien personne aucun aucune guère".split()), frozenset(("ne", "n'", "n’")), ("ez", "ons"),
     frozenset("chez assez nez rez avez êtes savez voulez pouvez devez avons sommes savons voulons pouvons devons".split()),
     {"allez": "Allez", "écoutez": "Écoutez", "regardez": "Regardez", "attendez": "Attendez", "hésitez": "N'hésitez pas", "imaginez": "Imaginez", "pensez": "Pensez à…"},
@@ -257,7 +257,7 @@ ENGLISH = Lexicon(
     frozenset("and so now just then please okay ok alright well oh first next but".split()), frozenset("very really so too no yes much more never way".split()), frozenset(("that", "had", "is")),
     frozenset("i you it is it's the a an and of to in that this we be have do don't i'm you're on for with so but what there there's if can just are was at 's 'm 're n't".split()),
     ["furthermore", "moreover", "therefore", "consequently", "thus", "hence", "whereby"], False,
-    dict(negation_card="Contract negations {freq} (*don't*, *isn't*, *can't*, not *do not*).", too_formal="Too formal: contract negations as they do (don't, isn't, can't).", too_casual="Too casual: they write out « not » more often.", negation_label="negations written out as *not*", chain_words='"and", "so", "then"', fragment='"Right."'),
+    dict(negation_card="*not* shrinks to *n't* in {freq} of the negations (*won't*, *couldn't*).", too_formal="The draft spells *not* out; this voice shrinks it (won't, couldn't).", too_casual="The draft shrinks *not* everywhere; this voice often gives it a word of its own.", negation_label="negations in which *not* is a word of its own", chain_words='"and", "so", "then"', fragment='"Right."'),
 )
 LEXICONS = {"fr": FRENCH, "en": ENGLISH}
 # Rhetorical devices, what they are called in a passage, and how languages are spelled.

@@ -172,4 +172,4 @@ def annotate(utts: DataFrame, lang: str, tagger: Callable[[], Callable[[str, str
 
     # A stated number of partitions: merged ones would leave cores idle while Python works.
     parts = int(utts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return utts.select("speaker_id", "recording_id", "utt_id", "index", "text").repartition(parts, "utt_id").mapInPandas(run, f"speaker_id string, recording_id string, utt_id long, index int, text string, tokens array<{TOKEN}>")
+    return utts.select("speaker_id", "recording_id", "utt_id", "index", "text").repartition(parts, "speaker_id", "utt_id").mapInPandas(run, f"speaker_id string, recording_id string, utt_id long, index int, text string, tokens array<{TOKEN}>")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
 from voxloom.functions.lexicon import FUNCTION_WORDS, LANGUAGE_NAMES
-from voxloom.sources.tables import first_delivery
+from voxloom.sources.tables import delivered_once
 
 
 def supported_language(name: Column) -> Column:
@@ -38,13 +38,13 @@ def text_language(text: Column) -> Column:
 
 def utterance_rows(utterances: DataFrame) -> DataFrame:
     """(utt_id, speaker_id, recording_id, index, start, text, norm), a delivered-twice row once; utt_id is the corpus order."""
-    once = first_delivery(utterances.select("utt_id", "speaker_id", "recording_id", "index", "start", "text", "loaded_at"), ["utt_id"])
+    once = delivered_once(utterances.select("utt_id", "speaker_id", "recording_id", "index", "start", "text", "loaded_at"), "utt_id")
     return once.where("text is not null").withColumn("norm", X.norm(F.col("text")))
 
 
 def word_rows(parsed: DataFrame) -> DataFrame:
     """(speaker_id, recording_id, utt_id, pos, w): the words with a letter, as they are counted (FLT4)."""
-    once = first_delivery(parsed.select("utt_id", "speaker_id", "recording_id", "words", "loaded_at"), ["utt_id"])
+    once = delivered_once(parsed.select("utt_id", "speaker_id", "recording_id", "words", "loaded_at"), "utt_id")
     rows = once.select("speaker_id", "recording_id", "utt_id", F.posexplode("words").alias("pos", "raw"))
     return rows.withColumn("w", X.lookup_form(F.col("raw"))).where(X.is_word(F.col("w"))).drop("raw")
 
@@ -61,12 +61,14 @@ def spread(rows: DataFrame, feature: list[str], k: int) -> DataFrame:
     ``rows``: feature columns, recording_id, rec_order, index, text. Within a recording readable lengths (4 to 30 words) come
     first, then the order of speech; recordings take turns in the order of their first utterance; a text that was picked
     before is skipped and its turn is used up. Adds ``pick`` from 1.
+
+    Ranks are taken over ids and a hash of each text; every window is cut to its first rows before rows are moved, and the texts
+    of those picked are fetched at the end by ``rec_order``, the id of the utterance.
     """
-    from pyspark.sql import Window as W
-
-    readable = X.whitespace_words(F.col("text")).between(4, 30)
-    in_rec = W.partitionBy(*feature, "recording_id").orderBy(F.when(readable, 0).otherwise(1), "index", "rec_order")
-    rounds = rows.withColumn("_first", F.min("rec_order").over(W.partitionBy(*feature, "recording_id"))).withColumn("_round", F.row_number().over(in_rec))
-    fresh = rounds.withColumn("_seen", F.row_number().over(W.partitionBy(*feature, "text").orderBy("_round", "_first"))).where("_seen = 1")
-    picked = fresh.withColumn("pick", F.row_number().over(W.partitionBy(*feature).orderBy("_round", "_first"))).where(F.col("pick") <= k)
-    return picked.drop("_first", "_round", "_seen")
+    slim = rows.select(*feature, "recording_id", "rec_order", "index", F.struct(F.xxhash64("text"), F.length("text")).alias("_text"), F.when(X.whitespace_words(F.col("text")).between(4, 30), 0).otherwise(1).alias("_late"))
+    place = Window.partitionBy(*feature, "recording_id")
+    rounds = slim.withColumn("_first", F.min("rec_order").over(place)).withColumn("_round", F.row_number().over(place.orderBy("_late", "index", "rec_order")))
+    fresh = rounds.withColumn("_seen", F.row_number().over(Window.partitionBy(*feature, "_text").orderBy("_round", "_first"))).where("_seen = 1")
+    pick = F.row_number().over(Window.partitionBy(*feature).orderBy("_round", "_first"))
+    picked = fresh.withColumn("pick", pick).where(F.col("pick") <= k).select(*feature, "pick", "rec_order")
+    return rows.join(picked, [*feature, "rec_order"]).dropDuplicates([*feature, "pick"])

@@ -36,6 +36,22 @@ def pending(recordings: DataFrame, transcripts: DataFrame, model: str | None = N
     return recordings.join(current, ["id", "sha256"], "left_anti").select("speaker_id", "id")
 
 
+def only(recordings: DataFrame, ids: list[str]) -> DataFrame:
+    """The recordings of the given ids; one that is not in the catalogue is an error (FLT5)."""
+    kept = recordings.where(F.col("id").isin(ids))
+    unknown = set(ids) - {r["id"] for r in kept.select("id").distinct().collect()}
+    if unknown:
+        raise LookupError(f"no recording {', '.join(sorted(unknown))}")
+    return kept
+
+
+def spoken_minutes(utts: DataFrame, recordings: DataFrame) -> DataFrame:
+    """(speaker_id, recordings, minutes) of the recordings that have utterances (JN6); an unknown duration counts nothing."""
+    heard = utts.select("recording_id").distinct()
+    rows = recordings.select("speaker_id", F.col("id").alias("recording_id"), "duration_s").join(heard, "recording_id", "left_semi")
+    return rows.groupBy("speaker_id").agg(F.count("*").alias("recordings"), F.round(F.sum(F.coalesce("duration_s", F.lit(0.0))) / 60, 1).alias("minutes"))
+
+
 def untracked(transcripts: DataFrame, recordings: DataFrame) -> DataFrame:
     """Transcripts of recordings that are not in the catalogue (JN13)."""
     return transcripts.select(F.col("recording_id").alias("id")).distinct().join(recordings.select("id"), "id", "left_anti")

@@ -33,8 +33,9 @@ def profile(utts: DataFrame, words: DataFrame, tagged_rows: DataFrame, lang: str
     absent = discourse.absent_markers(rates, sizes, lang).select("speaker_id", "category", "marker", "ord", F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("per_1k"), F.lit(0).cast("long").alias("recordings"))
     marks = rates.unionByName(absent).groupBy("speaker_id").agg(F.array_sort(F.collect_list(F.struct("ord", "category", "marker", "count", "per_1k", "recordings"))).alias("markers"))
     out = sizes.select("speaker_id", "words", "recordings")
-    for part in (lengths, grammar, address, prefs, marks):
-        out = out.join(part, "speaker_id")
+    for part in (lengths, grammar, address, prefs, marks):  # a subject that a part knows nothing of keeps its other measures
+        out = out.join(part, "speaker_id", "left")
+    out = out.withColumns({"address_count": F.coalesce("address_count", F.lit(0)), "address_per_1k": F.coalesce("address_per_1k", F.lit(0.0)), "negations": F.coalesce("negations", F.lit(0))})
     return out.withColumnRenamed("speaker_id", by)
 
 
@@ -51,19 +52,19 @@ def issues(drafts: DataFrame, targets: DataFrame, lang: str, draft_id: str, spea
     pc = lambda c: F.concat(F.round(c * 100).cast("int"), F.lit("%"))
     med = lambda p: F.concat(F.lit("median "), F.bround(p["median"], 0).cast("int"))
     cv = lambda p: F.concat(F.lit("CV "), p["cv"])
-    length = F.when(d["median"] > 1.4 * t["median"], issue("utterance_length", med(t), med(d), f"Utterances are too long and sound written; cut them into short bits chained with commas and {t_text['chain_words']}.", 2.0)).when(
-        d["median"] < 0.6 * t["median"], issue("utterance_length", med(t), med(d), f"Utterances are too choppy; let some run on with commas and {t_text['chain_words']}.", 1.0)
+    length = F.when(d["median"] > 1.4 * t["median"], issue("utterance_length", med(t), med(d), f"Half of the utterances are longer than this voice has breath for. Break them where it would pause, and link what belongs together by a comma or {t_text['chain_words']}.", 2.0)).when(
+        d["median"] < 0.6 * t["median"], issue("utterance_length", med(t), med(d), f"The pieces are shorter than this voice makes them. Link some by a comma or {t_text['chain_words']}.", 1.0)
     )
-    runs = F.when((t["long_share"] >= 0.15) & (d["long_share"] < F.greatest(F.lit(0.05), t["long_share"] - 0.2)), issue("long_runs", pc(t["long_share"]), pc(d["long_share"]), "Too even: make about a quarter of the utterances long runs, chained without a full stop.", 2.0)).when(
-        d["long_share"] > t["long_share"] + 0.25, issue("long_runs", pc(t["long_share"]), pc(d["long_share"]), "Too many long run-on sentences; break the long ones up.", 2.0)
+    runs = F.when((t["long_share"] >= 0.15) & (d["long_share"] < F.greatest(F.lit(0.05), t["long_share"] - 0.2)), issue("long_runs", pc(t["long_share"]), pc(d["long_share"]), "Long runs are missing. Let one utterance in four go on for more than a dozen words without a full stop.", 2.0)).when(
+        d["long_share"] > t["long_share"] + 0.25, issue("long_runs", pc(t["long_share"]), pc(d["long_share"]), "Long runs crowd out the short pieces. End some of them earlier.", 2.0)
     )
-    rhythm = F.when(d["cv"] < F.least(F.lit(0.45), 0.6 * t["cv"]), issue("rhythm_variation", cv(t), cv(d), "Utterances are all about as long; vary them."))
-    fragments = F.when(d["fragment_share"] < t["fragment_share"] - 0.12, issue("fragments", pc(t["fragment_share"]), pc(d["fragment_share"]), f"Too tidy: add verbless bits ({t_text['fragment']})."))
+    rhythm = F.when(d["cv"] < F.least(F.lit(0.45), 0.6 * t["cv"]), issue("rhythm_variation", cv(t), cv(d), "The lengths hardly differ. Put very short pieces beside long ones."))
+    fragments = F.when(d["fragment_share"] < t["fragment_share"] - 0.12, issue("fragments", pc(t["fragment_share"]), pc(d["fragment_share"]), f"Nearly every utterance has its verb. Leave it out here and there ({t_text['fragment']})."))
     enough = (d["negations"] >= 2) & t["share_full"].isNotNull()
     negation = F.when(enough & (d["share_full"] > t["share_full"] + 0.25), issue("negation", pc(t["share_full"]), pc(d["share_full"]), t_text["too_formal"])).when(
         enough & (d["share_full"] < t["share_full"] - 0.35), issue("negation", pc(t["share_full"]), pc(d["share_full"]), t_text["too_casual"])
     )
-    address = F.when((t["address_per_1k"] >= 10) & (d["address_count"] == 0) & (d["words"] >= 100), issue("address", "talks to the listener", "never", "Talk to the listener directly.", 2.0))
+    address = F.when((t["address_per_1k"] >= 10) & (d["address_count"] == 0) & (d["words"] >= 100), issue("address", "talks to the listener", "never", "Nobody is spoken to. Address whoever listens.", 2.0))
 
     def preference(x: Column) -> Column:
         pt, pd = x["a"], x["b"]
@@ -71,7 +72,7 @@ def issues(drafts: DataFrame, targets: DataFrame, lang: str, draft_id: str, spea
         rate = pt["avoid_count"] / t["words"]
         over = F.when(rate == 0, pd["avoid_count"] >= 1).otherwise(pd["avoid_count"] > F.greatest(3 * rate * d["words"], F.lit(2.0)))
         expected = F.when(rate == 0, F.lit("never")).otherwise(F.concat(F.lit("~"), F.format_number(rate * d["words"], 1), F.lit("×")))
-        return F.when(strong & over, issue(F.concat(F.lit("prefer:"), pt["use"]), expected, F.concat(F.lit("« "), pt["avoid"], F.lit(" » "), pd["avoid_count"], F.lit("×")), F.concat(F.lit("Say « "), pt["use"], F.lit(" », not « "), pt["avoid"], F.lit(" ».")), 2.0))
+        return F.when(strong & over, issue(F.concat(F.lit("prefer:"), pt["use"]), expected, F.concat(F.lit("« "), pt["avoid"], F.lit(" » "), pd["avoid_count"], F.lit("×")), F.concat(F.lit("This voice has « "), pt["use"], F.lit(" » where the draft has « "), pt["avoid"], F.lit(" ».")), 2.0))
 
     def marker(x: Column) -> Column:
         mt, md = x["a"], x["b"]
@@ -83,9 +84,9 @@ def issues(drafts: DataFrame, targets: DataFrame, lang: str, draft_id: str, spea
         core = (mt["recordings"] == t["recordings"]) & (mt["per_1k"] >= 4)
         say = lambda a, b: F.concat(F.lit(a), mt["marker"], F.lit(b))
         return (
-            F.when((mt["count"] == 0) & (t["words"] >= LEAST_WORDS_FOR_ABSENCE) & (got > 0), issue(name, "never", times, say("The speaker never says « ", " »: remove it."), 1.5))
-            .when(known & core & (expected >= 2) & (got == 0), issue(name, about, "0×", say("Missing « ", " »: the speaker would say it.")))
-            .when(known & ~(core & (expected >= 2) & (got == 0)) & (got >= F.greatest(F.lit(4.0), 3 * expected)), issue(name, about, times, say("Overused « ", " »: it reads like a caricature."), 1.5))
+            F.when((mt["count"] == 0) & (t["words"] >= LEAST_WORDS_FOR_ABSENCE) & (got > 0), issue(name, "never", times, say("« ", " » is not a word of this voice. Take it out."), 1.5))
+            .when(known & core & (expected >= 2) & (got == 0), issue(name, about, "0×", say("« ", " » is missing, though this voice cannot do long without it.")))
+            .when(known & ~(core & (expected >= 2) & (got == 0)) & (got >= F.greatest(F.lit(4.0), 3 * expected)), issue(name, about, times, say("« ", " » comes far more often than this voice has it. Keep a few."), 1.5))
         )
 
     zipped = lambda field: F.zip_with(t[field], d[field], lambda a, b: F.struct(a.alias("a"), b.alias("b")))

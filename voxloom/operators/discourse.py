@@ -45,7 +45,7 @@ def absent_markers(rates: DataFrame, speakers: DataFrame, lang: str) -> DataFram
 
 def marker_examples(utts: DataFrame, lang: str, k: int = 3) -> DataFrame:
     hit = F.array_compact(F.array(*[F.when(F.col("norm").rlike(p), F.lit(label)) for _, _, label, p in marker_list(LEXICONS[lang])]))
-    rows = utts.withColumn("marker", F.explode(hit)).select("speaker_id", "marker", "recording_id", F.col("utt_id").alias("rec_order"), "index", "text")
+    rows = utts.withColumn("marker", F.explode(hit)).select("speaker_id", "marker", "recording_id", F.col("utt_id").alias("rec_order"), "index", "text").distinct()
     return spread(rows, ["speaker_id", "marker"], k)
 
 
@@ -54,24 +54,53 @@ def utterance_words(parsed_once: DataFrame) -> DataFrame:
     return parsed_once.withColumn("ws", F.filter(F.transform("words", X.lookup_form), X.is_word)).drop("words")
 
 
+def tagged_words(tagged: DataFrame) -> DataFrame:
+    """The same from tagged utterances, with which of the words are nouns or names."""
+    said = F.filter("tokens", lambda t: t["is_word"])
+    return tagged.select("speaker_id", "recording_id", "utt_id", F.transform(said, lambda t: t["lw"]).alias("ws"), F.transform(said, lambda t: t["pos"].isin("NOUN", "PROPN")).alias("nouns"))
+
+
 def _grams(ws: Column, n: int) -> Column:
     return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.slice(ws, i, n))).otherwise(F.array())
 
 
-def signature_phrases(words: DataFrame, lo: int = 3, hi: int = 5, top: int = TOP_PHRASES) -> DataFrame:
+def _gram_rows(words: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(speaker_id, recording_id, utt_id, g, noun): every n-gram, and whether it holds a noun where that is known."""
+    nouns = F.col("nouns") if "nouns" in words.columns else F.transform("ws", lambda _: F.lit(None).cast("boolean"))
+    held = words.withColumn("_nouns", nouns)
+
+    def grams(n: int) -> Column:
+        begins = F.sequence(F.lit(1), F.size("ws") - (n - 1))
+        gram = lambda i: F.struct(F.slice("ws", i, n).alias("g"), F.array_max(F.slice("_nouns", i, n)).alias("noun"))
+        return F.when(F.size("ws") >= n, F.transform(begins, gram)).otherwise(F.array())
+
+    return held.select("speaker_id", "recording_id", "utt_id", F.explode(F.concat(*[grams(n) for n in range(lo, hi + 1)])).alias("x")).select("speaker_id", "recording_id", "utt_id", "x.g", "x.noun")
+
+
+def signature_phrases(words: DataFrame, lo: int = 3, hi: int = 5, top: int = TOP_PHRASES, keep_words: bool = False) -> DataFrame:
     """Recurring n-grams: at least three times, in two recordings where there are two, and not nearly always part of a longer
-    recurring one. Containment is an equi-join with the parts of the longer ones."""
-    grams = words.select("speaker_id", "recording_id", F.explode(F.concat(*[_grams(F.col("ws"), n) for n in range(lo, hi + 1)])).alias("g"))
-    by_recording = grams.groupBy("speaker_id", "g", "recording_id").agg(F.count("*").alias("n"))
-    counts = by_recording.groupBy("speaker_id", "g").agg(F.sum("n").alias("count"), F.count("*").alias("recordings"))
-    size = words.where(F.size("ws") > 0).groupBy("speaker_id").agg(F.count_distinct("recording_id").alias("n_recordings"))
+    recurring one. Containment is an equi-join with the parts of the longer ones. ``kind``: a phrase that was ever said with a
+    noun or name in it is a formula, tied to its subject, any other a phrasing; null where parts of speech are not known."""
+    by_recording = _gram_rows(words, lo, hi).groupBy("speaker_id", "g", "recording_id").agg(F.count("*").alias("n"), F.max("noun").alias("noun"))
+    counts = by_recording.groupBy("speaker_id", "g").agg(F.sum("n").alias("count"), F.count("*").alias("recordings"), F.max("noun").alias("noun"))
+    size = words.where(F.size("ws") > 0).select("speaker_id", "recording_id").distinct().groupBy("speaker_id").agg(F.count("*").alias("n_recordings"))
     kept = counts.where(F.col("count") >= LEAST_PHRASE).join(size, "speaker_id").where(F.col("recordings") >= F.least(F.lit(2), F.col("n_recordings"))).drop("n_recordings")
     parts = F.concat(*[F.when(F.size("g") > n, _grams(F.col("g"), n)).otherwise(F.array()) for n in range(lo, hi)])
     longer = kept.select("speaker_id", F.explode(F.array_distinct(parts)).alias("g"), F.col("count").alias("c")).groupBy("speaker_id", "g").agg(F.max("c").alias("longest"))
     free = kept.join(longer, ["speaker_id", "g"], "left").where(F.col("longest").isNull() | (F.col("longest") < COVERED * F.col("count")))
     weight = F.col("count") * F.size("g")
     rank = F.row_number().over(Window.partitionBy("speaker_id").orderBy(weight.desc(), "g"))
-    return free.withColumn("rank", rank).where(F.col("rank") <= top).select("speaker_id", "rank", X.join_tokens(F.col("g")).alias("phrase"), "count", "recordings")
+    kind = F.when(F.col("noun"), "formula").when(~F.col("noun"), "phrasing")
+    ranked = free.withColumn("rank", rank).where(F.col("rank") <= top)
+    return ranked.select("speaker_id", "rank", X.join_tokens(F.col("g")).alias("phrase"), "count", "recordings", kind.alias("kind"), *(["g"] if keep_words else []))
+
+
+def phrase_examples(words: DataFrame, utts: DataFrame, k: int = 2) -> DataFrame:
+    """Two utterances for each signature phrase (AGG22)."""
+    listed = signature_phrases(words, keep_words=True).select("speaker_id", "rank", "phrase", "g")
+    said = _gram_rows(words, 3, 5).join(listed, ["speaker_id", "g"]).select("speaker_id", "rank", "phrase", "utt_id")
+    rows = said.join(utts.select("utt_id", "recording_id", "index", "text"), "utt_id").withColumnRenamed("utt_id", "rec_order")
+    return spread(rows, ["speaker_id", "rank", "phrase"], k).select("speaker_id", "rank", "phrase", "pick", "recording_id", "index", "text")
 
 
 def repeats(utts: DataFrame, lang: str) -> DataFrame:

@@ -12,12 +12,18 @@ from voxloom.functions import text as X
 from voxloom.functions.lexicon import LEXICONS
 
 MATTR_WINDOW = 100
+UTTERANCE_BITS, WORD_BITS = 12, 14  # blocks of MATTR; a block is longer than a window
 LEAST_COUNT = 3
 TOP_DISTINCTIVE, TOP_UNDERUSED = 20, 10
 
 
 def totals(words: DataFrame) -> DataFrame:
-    return words.groupBy("speaker_id").agg(F.count_distinct("recording_id").alias("recordings"), F.count_distinct("utt_id").alias("utterances"), F.count("*").alias("words"), F.count_distinct("w").alias("types"))
+    """Recordings, utterances, words and types of a speaker. Two levels: numbers by utterance and by word are small enough to be
+    counted again, and no word row is repeated for a distinct count."""
+    spoken = words.groupBy("speaker_id", "recording_id", "utt_id").agg(F.count("*").alias("n")).groupBy("speaker_id", "recording_id").agg(F.count("*").alias("u"), F.sum("n").alias("n"))
+    spoken = spoken.groupBy("speaker_id").agg(F.count("*").alias("recordings"), F.sum("u").alias("utterances"), F.sum("n").alias("words"))
+    types = words.groupBy("speaker_id", "w").agg(F.lit(1)).groupBy("speaker_id").agg(F.count("*").alias("types"))
+    return spoken.join(types, "speaker_id")
 
 
 def word_counts(words: DataFrame) -> DataFrame:
@@ -30,19 +36,27 @@ def mattr(words: DataFrame, window: int = MATTR_WINDOW) -> DataFrame:
     """Moving-average type-token ratio over the word stream of a speaker, across utterances and recordings.
 
     The sum of distinct words over all windows is a sum over words: each counts in the windows that hold it and not its
-    previous occurrence. So one numbering of the stream and one lag by word suffice, and no window is materialised. The
-    numbering runs over utterances (offsets by a running sum of their lengths), not over words, so the sort of a hot speaker
-    is over utterances only.
+    previous occurrence. An occurrence further back than a window tells nothing, so the stream is cut into blocks that carry the
+    last words of the block before along; a speaker is as many groups as blocks. The numbering adds the words of the utterances
+    before in a block of utterances to those of the blocks before.
     """
-    lengths = words.groupBy("speaker_id", "utt_id").agg(F.count("*").alias("len"))
-    offsets = lengths.withColumn("offset", F.sum("len").over(Window.partitionBy("speaker_id").orderBy("utt_id")) - F.col("len")).drop("len")
+    lengths = words.groupBy("speaker_id", "utt_id").agg(F.count("*").alias("len")).withColumn("part", F.shiftright("utt_id", UTTERANCE_BITS))
+    inner = F.sum("len").over(Window.partitionBy("speaker_id", "part").orderBy("utt_id")) - F.col("len")
+    parts = lengths.groupBy("speaker_id", "part").agg(F.sum("len").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("speaker_id").orderBy("part")) - F.col("size")
+    total = F.sum("size").over(Window.partitionBy("speaker_id"))
+    begins = parts.select("speaker_id", "part", before.alias("before"), total.alias("n"))
+    offsets = lengths.withColumn("inner", inner).join(begins, ["speaker_id", "part"]).select("speaker_id", "utt_id", (F.col("before") + F.col("inner")).alias("offset"), "n")
     inside = words.withColumn("k", F.row_number().over(Window.partitionBy("speaker_id", "utt_id").orderBy("pos")) - 1)
-    stream = inside.join(offsets, ["speaker_id", "utt_id"]).select("speaker_id", "w", (F.col("offset") + F.col("k")).alias("j"))
-    size = lengths.groupBy("speaker_id").agg(F.sum("len").alias("n"))
-    previous = F.coalesce(F.lag("j").over(Window.partitionBy("speaker_id", "w").orderBy("j")), F.lit(-1))
-    placed = stream.withColumn("p", previous).join(size, "speaker_id")
+    stream = inside.join(offsets, ["speaker_id", "utt_id"]).select("speaker_id", "w", "n", (F.col("offset") + F.col("k")).alias("j"))
+    block = F.shiftright("j", WORD_BITS)
+    last_ones = (F.col("j") + window) >= (block + 1) * (1 << WORD_BITS)  # they are seen from the next block too
+    blocks = F.array_compact(F.array(block, F.when(last_ones, block + 1)))
+    shown = stream.withColumn("block", F.explode(blocks))
+    previous = F.coalesce(F.lag("j").over(Window.partitionBy("speaker_id", "block", "w").orderBy("j")), F.lit(-1))
+    placed = shown.withColumn("p", previous).where(block == F.col("block"))
     held = F.greatest(F.lit(0), F.least(F.col("j"), F.col("n") - window) - F.greatest(F.col("p") + 1, F.col("j") - window + 1, F.lit(0)) + 1)
-    sums = placed.groupBy("speaker_id").agg(F.max("n").alias("words"), F.sum(held).alias("distinct_sum"), F.count_distinct("w").alias("types"))
+    sums = placed.groupBy("speaker_id").agg(F.max("n").alias("words"), F.sum(held).alias("distinct_sum"), F.sum((F.col("p") < 0).cast("long")).alias("types"))
     value = F.when(F.col("words") >= window, F.col("distinct_sum") / (F.col("words") - window + 1) / window).otherwise(F.col("types") / F.col("words"))
     return sums.select("speaker_id", "words", F.when(F.col("words") >= window, F.col("distinct_sum")).otherwise(F.col("types")).alias("distinct_sum"), F.round(value, 3).alias("mattr"))
 

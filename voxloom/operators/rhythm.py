@@ -10,6 +10,7 @@ from voxloom.functions.lexicon import LEXICONS, java_pattern
 from voxloom.operators.base import spread
 
 LONG, SHORT = 13, 7
+TAG_EXAMPLES, OTHER_EXAMPLES = 4, 6
 BINS = ((1, 3), (4, 7), (8, 12), (13, 20), (21, 35), (36, None))
 
 
@@ -93,6 +94,17 @@ def question_block(utts: DataFrame, lang: str) -> DataFrame:
     return utts.groupBy("speaker_id").agg(F.count("*").alias("utterances"), F.sum(asks.cast("long")).alias("questions"), F.sum(tag.cast("long")).alias("tag_questions")).withColumn("share", F.round(F.col("questions") / F.col("utterances"), 3))
 
 
-def question_examples(utts: DataFrame, lang: str, k: int = 4) -> DataFrame:
+def question_examples(utts: DataFrame, lang: str) -> DataFrame:
+    """Four tag questions and six other questions of each speaker."""
     asked = questions(utts, lang).select("speaker_id", "kind", "recording_id", F.col("utt_id").alias("rec_order"), "index", "text")
-    return spread(asked, ["speaker_id", "kind"], k).select("speaker_id", "kind", "pick", "recording_id", "index", "text")
+    picked = spread(asked, ["speaker_id", "kind"], max(TAG_EXAMPLES, OTHER_EXAMPLES))
+    few = F.when(F.col("kind") == "tag", TAG_EXAMPLES).otherwise(OTHER_EXAMPLES)
+    return picked.where(F.col("pick") <= few).select("speaker_id", "kind", "pick", "recording_id", "index", "text")
+
+
+def opening_examples(utts: DataFrame, words: DataFrame, k: int = 2) -> DataFrame:
+    """Two utterances for each of a speaker's most frequent first words (AGG16)."""
+    tops = top_starts(words).select("speaker_id", F.col("words").alias("first"))
+    begun = starts(words).join(tops, ["speaker_id", "first"]).select("speaker_id", "first", "utt_id")
+    rows = begun.join(utts.select("utt_id", "recording_id", "index", "text"), "utt_id").withColumnRenamed("utt_id", "rec_order")
+    return spread(rows, ["speaker_id", "first"], k).select("speaker_id", "first", "pick", "recording_id", "index", "text")

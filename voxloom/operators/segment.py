@@ -108,6 +108,19 @@ def chunks(utts: DataFrame, most: int = CHUNK_WORDS, context: int = CONTEXT) ->
     )
 
 
+def chunk_lines(utts: DataFrame, most: int = CHUNK_WORDS, context: int = CONTEXT) -> DataFrame:
+    """(recording_id, number, key, lines, context): the chunks of ``chunks`` with the index, start and text of each of their lines."""
+    u = F.struct("index", "start", "text", X.whitespace_words(F.col("text")).alias("words"))
+    rows = utts.groupBy("recording_id").agg(F.array_sort(F.collect_list(u)).alias("us")).withColumn("counts", F.transform("us", lambda u: u["words"]))
+    cut = rows.select("recording_id", "us", F.posexplode(_windows(F.col("counts"), most)).alias("number", "w"))
+    lines = F.slice("us", F.col("w.begin") + 1, F.col("w.end") - F.col("w.begin"))
+    lead = F.least(F.lit(context), F.col("w.begin"))
+    before = F.transform(F.slice("us", F.col("w.begin") - lead + 1, lead), lambda u: u["text"])
+    held = cut.select("recording_id", "number", lines.alias("lines"), before.alias("context"))
+    key = F.substring(F.sha2(F.array_join(F.transform("lines", lambda u: u["text"]), "\n"), 256), 1, 16)
+    return held.select("recording_id", "number", key.alias("key"), "lines", "context")
+
+
 def passages(utts: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     """(recording_id, window, role, first_index, last_index, words, text, indices): windows of a recording; a tail of less than
     half the words joins the window before it unless it is the only one (SEG8, SEG9)."""

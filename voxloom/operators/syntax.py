@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
 from voxloom.functions.lexicon import LEXICONS, Lexicon
+from voxloom.operators.base import spread
 
 # Verbs whose compound tenses take être, reflexive forms, parts of speech of style words.
 ETRE_VERBS = "aller venir arriver partir sortir entrer rentrer rester tomber naître mourir devenir revenir retourner monter descendre passer apparaître".split()
@@ -143,3 +144,14 @@ def dominant_pos(tokens: DataFrame) -> DataFrame:
 def style_bucket() -> Column:
     """The bucket of a distinctive word by its part of speech (AGG9)."""
     return F.when(F.col("pos").isin(*STYLE_POS), "function_discourse").when(F.col("pos") == "ADJ", "evaluative").otherwise("content_topic")
+
+
+def feature_examples(rows: DataFrame, repeated: DataFrame, familiar: DataFrame, k: int = 4) -> DataFrame:
+    """(speaker_id, feature, pick, recording_id, index, text): four utterances for each thing that a profile counts (AGG15, AGG19, AGG20,
+    AGG23-AGG25, AGG28). An utterance that has it twice takes two turns."""
+    base = ["speaker_id", "recording_id", F.col("utt_id").alias("rec_order"), "index", "text"]
+    of = lambda df, feature: df.select(F.lit(feature).alias("feature") if isinstance(feature, str) else feature.alias("feature"), *base)
+    single = F.array_compact(F.array(F.when(F.col("clauses") == 0, "fragment"), F.when(F.size("imperatives") > 0, "imperative"), F.when(F.col("passive"), "passive")))
+    negated = F.transform("negations", lambda n: F.concat(n, F.lit(" negation")))
+    found = of(rows.withColumn("_f", F.explode(F.concat(single, negated))), F.col("_f")).unionByName(of(repeated, F.col("kind"))).unionByName(of(familiar.dropDuplicates(["utt_id"]), "familiar"))
+    return spread(found, ["speaker_id", "feature"], k).select("speaker_id", "feature", "pick", "recording_id", "index", "text")

@@ -10,10 +10,10 @@ from voxloom.operators import annotate, critic, discourse, lexical, register, rh
 from voxloom.plans.shared import materialize
 
 
-def measured(utts: DataFrame, words: DataFrame, parsed_once: DataFrame, annotations: DataFrame, lang: str, tagger=None) -> dict[str, DataFrame]:
+def measured(utts: DataFrame, words: DataFrame, annotations: DataFrame, lang: str, tagger=None) -> dict[str, DataFrame]:
     utts, words = materialize(utts, "utts"), materialize(words, "words")  # read by a dozen branches each
-    rows = syntax.syntax_rows(annotate.annotate(utts, lang, tagger or annotate.RuleTagger), lang)
-    rows = materialize(rows, "syntax")
+    tagged = materialize(annotate.annotate(utts, lang, tagger or annotate.RuleTagger), "tagged")
+    rows = materialize(syntax.syntax_rows(tagged, lang), "syntax")
     base, sizes = materialize(lexical.baseline(words), "baseline"), materialize(lexical.totals(words), "totals")
     rates = materialize(discourse.marker_rates(discourse.marker_counts_by_recording(utts, lang), sizes), "rates")
     spoken = utts.groupBy("speaker_id").agg(F.sum(X.whitespace_words(F.col("text"))).alias("words"))
@@ -23,7 +23,9 @@ def measured(utts: DataFrame, words: DataFrame, parsed_once: DataFrame, annotati
     frames = {
         "profile": profile, "preferences": register.preference_counts(utts, lang), "pronouns": lexical.pronouns(words, base, lang), "bigrams": rhythm.top_starts(words, bigrams=True),
         "imperatives": syntax.imperative_verbs(rows), "markers": rates, "absent": discourse.absent_markers(rates, sizes, lang), "familiar": register.familiar_words(register.familiar_matches(utts, lang), sizes),
-        "phrases": discourse.signature_phrases(discourse.utterance_words(parsed_once)).join(sizes.select("speaker_id"), "speaker_id", "left_semi"), "devices": rhetoric.device_summary(kept, spoken, ["speaker_id"]),
+        "phrases": discourse.signature_phrases(discourse.tagged_words(tagged)), "lemmas": syntax.top_lemmas(syntax.token_rows(tagged)), "openings": rhythm.top_starts(words),
+        "questions": rhythm.question_block(utts, lang), "question_examples": rhythm.question_examples(utts, lang),
+        "examples": syntax.feature_examples(rows, discourse.repeats(utts, lang), register.familiar_matches(utts, lang)), "device_examples": rhetoric.device_examples(kept, ["speaker_id"]), "devices": rhetoric.device_summary(kept, spoken, ["speaker_id"]),
         "distinctive": lexical.distinctive(lexical.against_baseline(words, base)),
     }
     return {name: materialize(df, name) for name, df in frames.items()}  # documents read each several times; all are small

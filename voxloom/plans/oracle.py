@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from voxloom.functions.lexicon import ENGLISH, FRENCH, LEXICONS, markers
+import re
+
+from voxloom.functions.lexicon import DEVICES, ENGLISH, FRENCH, LEXICONS, PASSAGE_DEVICES, markers, preferences
 
 _U = """u AS (SELECT utt_id, speaker_id, recording_id, "index", "start", text, replace(lower(text), '’', '''') AS norm
   FROM (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY loaded_at) AS d FROM utterances) WHERE d = 1 AND text IS NOT NULL)"""
@@ -80,7 +82,7 @@ SELECT speaker_id, count(*) AS utterances, CAST(sum(asks::INT) AS BIGINT) AS que
 SQL["win2_question_examples"] = f"""WITH {_U}, {_lang("en")}, q AS (SELECT *, CASE WHEN regexp_matches(norm, '{_TAGS}') THEN 'tag' ELSE 'other' END AS kind, len(list_filter(regexp_split_to_array(text, '[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')) BETWEEN 4 AND 30 AS ok FROM u SEMI JOIN l USING (recording_id) WHERE rtrim(text, ' ') LIKE '%?'),
 r AS (SELECT *, min(utt_id) OVER (PARTITION BY speaker_id, kind, recording_id) AS f, row_number() OVER (PARTITION BY speaker_id, kind, recording_id ORDER BY NOT ok, "index", utt_id) AS rn FROM q),
 s AS (SELECT *, row_number() OVER (PARTITION BY speaker_id, kind, text ORDER BY rn, f) AS seen FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY speaker_id, kind ORDER BY rn, f) AS pick FROM s WHERE seen = 1)
-SELECT speaker_id, kind, CAST(pick AS INTEGER) AS pick, recording_id, "index", text FROM t WHERE pick <= 4"""
+SELECT speaker_id, kind, CAST(pick AS INTEGER) AS pick, recording_id, "index", text FROM t WHERE pick <= CASE WHEN kind = 'tag' THEN 4 ELSE 6 END"""
 SQL["agg22_signature_phrases"] = f"""WITH p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY loaded_at) AS d FROM parsed) WHERE d = 1),
 a AS (SELECT speaker_id, recording_id, list_filter(list_transform(words, lambda x: regexp_replace(replace(lower(x), '’', ''''), '^-+', '')), lambda x: regexp_matches(x, '\\p{{L}}')) AS ws FROM p1),
 g AS (SELECT speaker_id, recording_id, unnest(flatten([list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: ws[i:i + n - 1]) for n in [3, 4, 5]])) AS g FROM a),
@@ -109,10 +111,6 @@ k AS (SELECT recording_id, w, row_number() OVER (PARTITION BY recording_id ORDER
 b AS (SELECT *, coalesce(right(w.word, 1) IN ('.', '?', '!', '…') OR lead(w."start") OVER (PARTITION BY recording_id ORDER BY pos) - w."end" > 0.5, false) AS brk FROM k),
 g AS (SELECT *, coalesce(sum(brk::INT) OVER (PARTITION BY recording_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM b)
 SELECT recording_id, CAST(island AS BIGINT) AS island, count(*) AS words, CAST(min(pos) AS INTEGER) AS first_pos FROM g GROUP BY 1, 2"""
-SQL["agg30_device_summary"] = f"""WITH {_U}, z AS (SELECT speaker_id, sum(len(list_filter(regexp_split_to_array(text, '[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+'), lambda x: x <> ''))) AS words FROM u GROUP BY 1)
-SELECT speaker_id, device, count(*) AS count, round(1000.0::DOUBLE * count(*) / max(words), 2) AS per_1k, count(DISTINCT recording_id) AS recordings FROM annotations JOIN z USING (speaker_id) WHERE device IS NOT NULL GROUP BY 1, 2"""
-SQL["win3_device_examples"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY speaker_id, device, recording_id ORDER BY coalesce(t, 0), annotation_id) AS rn, min(annotation_id) OVER (PARTITION BY speaker_id, device, recording_id) AS f FROM annotations WHERE device IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY speaker_id, device ORDER BY rn, f) AS pick FROM r) SELECT speaker_id, device, CAST(pick AS INTEGER) AS pick, annotation_id, recording_id, quote FROM s WHERE pick <= 5"""
 SQL["agg29_corpus_stats"] = """SELECT speaker_id, CASE WHEN grouping(genre) = 0 THEN 'genre' WHEN grouping(register) = 0 THEN 'register' ELSE 'all' END AS kind, CASE WHEN grouping(genre) = 0 THEN genre WHEN grouping(register) = 0 THEN register ELSE '' END AS value,
 count(*) AS recordings, round(sum(coalesce(duration_s, 0)), 2) AS total_s, CAST(sum(coalesce(multi_speaker, false)::INT) AS BIGINT) AS multi_speaker FROM recordings GROUP BY GROUPING SETS ((speaker_id), (speaker_id, genre), (speaker_id, register))"""
 SQL["jn15_duplicate_content"] = """SELECT speaker_id, id, same_as FROM (SELECT *, row_number() OVER k AS n, first_value(id) OVER k AS same_as FROM recordings WHERE sha256 IS NOT NULL WINDOW k AS (PARTITION BY speaker_id, sha256 ORDER BY added_at, id)) WHERE n > 1"""
@@ -166,6 +164,26 @@ SQL["seg8_passages"] = f"""WITH RECURSIVE {_U}, {_WINDOWS.format(count=_COUNTED,
 g AS (SELECT recording_id, k, sum(words) AS w, min(i) AS a, max(i) AS b FROM r JOIN o USING (recording_id, rn) GROUP BY 1, 2), t AS (SELECT *, max(k) OVER (PARTITION BY recording_id) AS last FROM g),
 m AS (SELECT recording_id, CASE WHEN k = last AND k > 0 AND w < 65 THEN k - 1 ELSE k END AS k, w, a, b FROM t), f AS (SELECT recording_id, k, sum(w) AS words, min(a) AS a, max(b) AS b FROM m GROUP BY 1, 2)
 SELECT recording_id, k AS "window", CASE WHEN k = 0 THEN 'opening' WHEN k = max(k) OVER (PARTITION BY recording_id) THEN 'closing' ELSE 'middle' END AS role, a AS first_index, b AS last_index, CAST(words AS BIGINT) AS words FROM f"""
+_NORM = "trim(regexp_replace(replace(lower({x}), '’', ''''), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}'']+', ' ', 'g'))"
+_DEVICES = ", ".join(f"'{x}'" for x in DEVICES)
+# The parts of a quote stand in a passage in order exactly if they match it with anything between them.
+_PARTS = f"array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(quote, ''), '\\[\\.\\.\\.\\]|\\.\\.\\.|…'), lambda x: {_NORM.format(x='x')}), lambda x: x <> ''), '.*')"
+_VERIFIED = f"""{_U}, {_WINDOWS.format(count=_COUNTED, most=350)},
+ln AS (SELECT o.recording_id, k, i, u."start" AS sec, {_NORM.format(x='o.text')} AS line FROM r JOIN o USING (recording_id, rn) JOIN u ON u.recording_id = o.recording_id AND u."index" = o.i),
+ps AS (SELECT recording_id, k, string_agg(line, ' ' ORDER BY i) FILTER (WHERE line <> '') AS passage, list(i) AS held FROM ln GROUP BY 1, 2),
+q AS (SELECT *, {_NORM.format(x="coalesce(quote, '')")} AS qn, {_PARTS} AS parts FROM annotations),
+c AS (SELECT annotation_id, k, parts <> '' AND regexp_matches(coalesce(passage, ''), parts) AS found, len(list_intersect(coalesce(utterances, []), held)) > 0 AS own FROM q JOIN ps USING (recording_id)),
+b AS (SELECT annotation_id, k FROM (SELECT *, row_number() OVER (PARTITION BY annotation_id ORDER BY NOT own, k) AS n FROM c WHERE found) WHERE n = 1),
+v AS (SELECT q.*, b.k, CASE WHEN coalesce(quote, '') = '' THEN 'empty quote' WHEN device IS NULL OR device NOT IN ({_DEVICES}) THEN 'unknown device' WHEN b.k IS NULL THEN 'quote not found' END AS reason FROM q LEFT JOIN b USING (annotation_id)),
+sp AS (SELECT annotation_id, list_sort(list(DISTINCT i)) AS lines, arg_min(struct_pack(v := sec), i).v AS sec FROM v JOIN ln ON ln.recording_id = v.recording_id AND ln.k = v.k
+  WHERE reason IS NULL AND (coalesce(list_contains(utterances, i), false) OR (line <> '' AND qn <> '' AND (contains(qn, line) OR contains(line, qn)))) GROUP BY 1)"""
+SQL["fn4_verified_annotations"] = f"""WITH RECURSIVE {_VERIFIED} SELECT annotation_id, recording_id, device, quote, reason IS NULL AS kept, reason, coalesce(lines, []) AS lines, sec AS t FROM v LEFT JOIN sp USING (annotation_id)"""
+SQL["agg30_device_summary"] = f"""WITH RECURSIVE {_VERIFIED}, z AS (SELECT speaker_id, sum({_COUNTED}) AS words FROM u GROUP BY 1)
+SELECT speaker_id, device, count(*) AS count, round(1000.0::DOUBLE * count(*) / max(words), 2) AS per_1k, count(DISTINCT recording_id) AS recordings FROM v JOIN z USING (speaker_id) WHERE reason IS NULL GROUP BY 1, 2"""
+SQL["win3_device_examples"] = f"""WITH RECURSIVE {_VERIFIED}, e AS (SELECT v.*, coalesce(sp.sec, 0) AS t0 FROM v LEFT JOIN sp USING (annotation_id) WHERE reason IS NULL),
+g AS (SELECT *, row_number() OVER (PARTITION BY speaker_id, device, recording_id ORDER BY t0, annotation_id) AS rn, row_number() OVER (PARTITION BY speaker_id, device ORDER BY t0, annotation_id) AS ord FROM e),
+f AS (SELECT *, min(ord) OVER (PARTITION BY speaker_id, device, recording_id) AS first FROM g), s AS (SELECT *, row_number() OVER (PARTITION BY speaker_id, device ORDER BY rn, first) AS pick FROM f)
+SELECT speaker_id, device, CAST(pick AS INTEGER) AS pick, annotation_id, recording_id, quote FROM s WHERE pick <= 5"""
 _TEXT = "regexp_replace(regexp_replace(regexp_replace(joined, '{ws}+([''’-])', '\\1', 'g'), '([''’]){ws}+', '\\1', 'g'), '{ws}+([,.;:…])', '\\1', 'g')".replace("{ws}", _WS)
 SQL["seg1_pause_utterances"] = f"""WITH RECURSIVE t AS (SELECT recording_id, segments, coalesce(lower(trim(language)) IN ('fr','french','français','fra','fre') OR regexp_split_to_array(lower(trim(language)), '[-_ ]')[1] IN ('fr','french','français','fra','fre'), false) AS french FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY created_at DESC, loaded_at DESC) AS d FROM transcripts WHERE segments IS NOT NULL) WHERE d = 1),
 s AS (SELECT recording_id, unnest(segments) AS s, generate_subscripts(segments, 1) AS i FROM t), x AS (SELECT recording_id, i, unnest(s.words) AS w, generate_subscripts(s.words, 1) AS j FROM s WHERE NOT coalesce(s.no_speech_prob > 0.8 AND s.avg_logprob < -1.0, false)),
@@ -200,3 +218,59 @@ _in_french("win2_question_examples", _FR_TAGS)
 _in_french("agg23_repeats", *((", ".join(f"'{x}'" for x in sorted(en)), ", ".join(f"'{x}'" for x in sorted(fr))) for en, fr in ((ENGLISH.emphatic, FRENCH.emphatic), (ENGLISH.repeat_ok, FRENCH.repeat_ok))))
 _in_french("agg27_address", (_standalone_count("norm", ENGLISH.address.split("/")), _standalone_count("norm", FRENCH.address.split("/"))))
 _in_french("agg28_familiar_words", (_FAMILIAR, " UNION ALL ".join(f"SELECT speaker_id, '{_quote(x)}' AS word, {_standalone_count('norm', [x])} AS n FROM e" for x in FRENCH.familiar)))
+
+_WS_WORDS = "len(list_filter(regexp_split_to_array(text, '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'), lambda x: x <> ''))"
+
+
+def _spread_sql(rows: str, feature: str, k: str) -> str:
+    """Examples by feature from ``rows`` (feature columns, recording_id, utt_id, index, text), after the text of the survey: rounds over
+    recordings in order of appearance, readable lengths first, texts once."""
+    return f"""r AS (SELECT *, min(utt_id) OVER (PARTITION BY {feature}, recording_id) AS f, row_number() OVER (PARTITION BY {feature}, recording_id ORDER BY NOT {_WS_WORDS} BETWEEN 4 AND 30, "index", utt_id) AS rn FROM ({rows})),
+s AS (SELECT *, row_number() OVER (PARTITION BY {feature}, text ORDER BY rn, f) AS seen FROM r), picks AS (SELECT *, row_number() OVER (PARTITION BY {feature} ORDER BY rn, f) AS pick FROM s WHERE seen = 1)
+SELECT {feature}, CAST(pick AS INTEGER) AS pick, recording_id, "index", text FROM picks WHERE pick <= {k}"""
+
+
+_TOP_OPENINGS = "c AS (SELECT speaker_id, a AS first, count(*) AS count, min(utt_id) AS first_at FROM f0 GROUP BY 1, 2), tops AS (SELECT speaker_id, first FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY count DESC, first_at) AS rank FROM c) WHERE rank <= 12)"
+SQL["agg16_opening_examples"] = f"""WITH {_U}, {_FIRST.replace("f AS (", "f0 AS (").replace("FROM f GROUP", "FROM f0 GROUP")}, {_TOP_OPENINGS},
+{_spread_sql('SELECT f0.speaker_id, f0.a AS first, u.recording_id, u.utt_id, u."index", u.text FROM f0 JOIN tops ON tops.speaker_id = f0.speaker_id AND tops.first = f0.a JOIN u USING (utt_id)', 'speaker_id, first', '2')}"""
+SQL["jn6_spoken_minutes"] = f"""WITH {_U} SELECT speaker_id, count(*) AS recordings, round(sum(coalesce(duration_s, 0)) / 60, 1) AS minutes FROM recordings WHERE id IN (SELECT recording_id FROM u) GROUP BY 1"""
+
+
+# Passages (SEG8) beside the chunks of _VERIFIED: the same recursion under other names.
+_PASSAGES = re.sub(r"\br\b", "r2", re.sub(r"\bo\b", "o2", _WINDOWS.format(count=_COUNTED, most=130)))
+SQL["jn7_passage_devices"] = f"""WITH RECURSIVE {_VERIFIED}, {_PASSAGES},
+g2 AS (SELECT recording_id, k, sum(words) AS w FROM r2 JOIN o2 USING (recording_id, rn) GROUP BY 1, 2), t2 AS (SELECT *, max(k) OVER (PARTITION BY recording_id) AS last FROM g2),
+m2 AS (SELECT recording_id, k AS k0, CASE WHEN k = last AND k > 0 AND w < 65 THEN k - 1 ELSE k END AS k, w FROM t2),
+f2 AS (SELECT recording_id, k, sum(w) AS words FROM m2 GROUP BY 1, 2),
+l2 AS (SELECT r2.recording_id, m2.k, o2.i FROM r2 JOIN o2 USING (recording_id, rn) JOIN m2 ON m2.recording_id = r2.recording_id AND m2.k0 = r2.k),
+d2 AS (SELECT l2.recording_id, l2.k, list_sort(list(DISTINCT v.device)) AS devices FROM v JOIN sp USING (annotation_id) JOIN l2 ON l2.recording_id = v.recording_id AND list_contains(sp.lines, l2.i)
+  WHERE reason IS NULL AND v.device IN ({", ".join(f"'{x}'" for x in PASSAGE_DEVICES)}) GROUP BY 1, 2)
+SELECT recording_id, k AS "window", CASE WHEN k = 0 THEN 'opening' WHEN k = max(k) OVER (PARTITION BY recording_id) THEN 'closing' ELSE 'middle' END AS role, CAST(words AS BIGINT) AS words, coalesce(devices, []) AS devices FROM f2 LEFT JOIN d2 USING (recording_id, k)"""
+_OUTER = "[\\s\\x{0b}\\x{85}\\p{Z}]"
+SQL["fn5_clean_drafts"] = f"""WITH a AS (SELECT version_id, regexp_replace(regexp_replace(text, '(?m)^\\s*(?:#+ .*|\\*\\*.*\\*\\*|[-*] )', '', 'g'), '(?m)^\\s*[\\[(].*?[\\])]\\s*$', '', 'g') AS t FROM versions),
+b AS (SELECT version_id, regexp_replace(regexp_replace(t, '^{_OUTER}+|{_OUTER}+$', '', 'g'), '^[«»"“”]+|[«»"“”]+$', '', 'g') AS t FROM a)
+SELECT version_id, regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_OUTER}+|{_OUTER}+$', '', 'g') AS clean FROM b"""
+# Preferred forms: what must or must not follow is counted apart, since there is no look-around.
+_FOLLOWED = {"going to": ("going  to  (?:the|a  |a''|my|your)", -1), "one (generic)": ("one  (?:can|should|must|might|would|could|has|needs)", 1)}
+
+
+def _preference_sql(lang: str) -> str:
+    inner = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}''’"
+    doubled = f"regexp_replace(' ' || norm || ' ', '([^{inner}])', '\\1\\1', 'g')"
+
+    def count(label: str, form: str) -> str:
+        plain = _standalone_count("norm", form.split("{")[0].split("/"))
+        if label not in _FOLLOWED:
+            return plain
+        pattern, sign = _FOLLOWED[label]
+        followed = f"len(regexp_extract_all({doubled}, '[^{inner}]{pattern}'))"
+        return f"{plain} - {followed}" if sign < 0 else followed
+
+    rows = " UNION ALL ".join(
+        f"""SELECT speaker_id, {k} AS ord, '{_quote(u)}' AS "use", '{_quote(a)}' AS avoid, CAST(sum({count(u, uf)}) AS BIGINT) AS use_count, CAST(sum({count(a, af)}) AS BIGINT) AS avoid_count FROM e GROUP BY 1"""
+        for k, (u, uf, a, af) in enumerate(preferences(LEXICONS[lang]))
+    )
+    return f"WITH {_U}, {_lang(lang)}, e AS (SELECT * FROM u SEMI JOIN l USING (recording_id)) {rows}"
+
+
+SQL["agg26_preferences"], SQL["agg26_preferences_fr"] = _preference_sql("en"), _preference_sql("fr")

@@ -12,7 +12,7 @@ from voxloom.functions import text as X
 from voxloom.functions.lexicon import LEXICONS
 from voxloom.operators import annotate, base, catalog, critic, discourse, lexical, register, rhetoric, rhythm, segment, syntax
 from voxloom.plans.shared import materialize
-from voxloom.sources.tables import first_delivery, table
+from voxloom.sources.tables import delivered_once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -47,9 +47,8 @@ def _languages(s, d, lang):
     return base.recording_languages(table(s, d, "transcripts")).where(F.col("lang") == lang)
 
 
-def _parsed_once(s, d, lang=None):
-    rows = first_delivery(table(s, d, "parsed").select("utt_id", "speaker_id", "recording_id", "words", "loaded_at"), ["utt_id"])
-    return rows if lang is None else rows.join(_languages(s, d, lang), "recording_id", "left_semi")
+def _parsed_once(s, d):
+    return delivered_once(table(s, d, "parsed").select("utt_id", "speaker_id", "recording_id", "words", "loaded_at"), "utt_id")
 
 
 @query
@@ -171,7 +170,35 @@ def jn4_absent_markers(s, d, lang="en"):
 
 @query
 def agg22_signature_phrases(s, d):
-    return discourse.signature_phrases(discourse.utterance_words(_parsed_once(s, d)))
+    return discourse.signature_phrases(discourse.utterance_words(_parsed_once(s, d))).drop("kind")
+
+
+@query
+def agg22_phrase_examples(s, d):
+    return discourse.phrase_examples(materialize(discourse.utterance_words(_parsed_once(s, d)), "phrase-words"), _utts(s, d))
+
+
+@query_by_language
+def agg22_phrase_kinds(s, d, lang="en"):
+    """Signature phrases with their kind, by the tagger."""
+    return discourse.signature_phrases(discourse.tagged_words(annotate.annotate(_utts(s, d, lang), lang)))
+
+
+@query
+def agg16_opening_examples(s, d):
+    return rhythm.opening_examples(_utts(s, d), materialize(_words(s, d), "words"))
+
+
+@query_by_language
+def win2_feature_examples(s, d, lang="en"):
+    utts = materialize(_utts(s, d, lang), "utts")
+    rows = syntax.syntax_rows(annotate.annotate(utts, lang), lang)
+    return syntax.feature_examples(rows, discourse.repeats(utts, lang), register.familiar_matches(utts, lang))
+
+
+@query
+def jn6_spoken_minutes(s, d):
+    return catalog.spoken_minutes(_utts(s, d), table(s, d, "recordings"))
 
 
 @query_by_language
@@ -233,15 +260,20 @@ def fn4_verified_annotations(s, d):
     return rhetoric.verify(_items(s, d), _utts(s, d))
 
 
+def _kept(s, d):
+    """The annotations whose quote was found, with their speaker and the time of their first line."""
+    return rhetoric.verify(_items(s, d), _utts(s, d)).where("kept").join(_items(s, d).select("annotation_id", "speaker_id"), "annotation_id")
+
+
 @query
 def agg30_device_summary(s, d):
     sizes = _utts(s, d).groupBy("speaker_id").agg(F.sum(X.whitespace_words(F.col("text"))).alias("words"))
-    return rhetoric.device_summary(_items(s, d).where("device is not null"), sizes, ["speaker_id"])
+    return rhetoric.device_summary(_kept(s, d), sizes, ["speaker_id"])
 
 
 @query
 def win3_device_examples(s, d):
-    return rhetoric.device_examples(_items(s, d).where("device is not null"), ["speaker_id"])
+    return rhetoric.device_examples(_kept(s, d), ["speaker_id"])
 
 
 @query
@@ -309,18 +341,23 @@ def agg4_top_lemmas(s, d, lang="en"):
     return syntax.top_lemmas(syntax.token_rows(annotate.annotate(_utts(s, d, lang), lang)))
 
 
-def _profiles(s, d, lang):
-    tagged = annotate.annotate(_utts(s, d, lang), lang)
-    return critic.profile(_utts(s, d, lang), _words(s, d, lang), syntax.syntax_rows(tagged, lang), lang)
+def _profiles(s, d, lang, speakers):
+    """The profiles of those speakers; nothing of others is tagged."""
+    mine = lambda df: df.join(speakers, "speaker_id", "left_semi")
+    utts, words = materialize(mine(_utts(s, d, lang)), "utts"), materialize(mine(_words(s, d, lang)), "words")
+    rows = syntax.syntax_rows(annotate.annotate(utts, lang), lang)
+    return critic.profile(utts, words, rows, lang)
 
 
 def _judged(s, d):
     """(lang, drafts in it, profiles in it of their speakers) for each supported language."""
-    versions = materialize(table(s, d, "versions").select("version_id", "speaker_id", "text", base.text_language(F.col("text")).alias("lang")), "versions")
+    drafts = table(s, d, "versions").select("version_id", "speaker_id", "text", base.text_language(F.col("text")).alias("lang"))
+    heard = table(s, d, "recordings").select(F.col("id").alias("recording_id"), "speaker_id").join(base.recording_languages(table(s, d, "transcripts")), "recording_id").select("speaker_id", "lang").distinct()
+    versions = materialize(drafts.where("lang is not null").join(heard, ["speaker_id", "lang"], "left_semi"), "versions")  # the others have nothing to be held against
     for lang in LEXICONS:
         mine = versions.where(F.col("lang") == lang).drop("lang")
-        drafts = critic.draft_profiles(mine, lang, "version_id").join(mine.select("version_id", "speaker_id"), "version_id")
-        yield lang, materialize(drafts, "drafts"), materialize(_profiles(s, d, lang), "profiles")
+        judged = critic.draft_profiles(mine, lang, "version_id").join(mine.select("version_id", "speaker_id"), "version_id")
+        yield lang, materialize(judged, "drafts"), materialize(_profiles(s, d, lang, mine.select("speaker_id").distinct()), "profiles")
 
 
 def _issues(judged):
@@ -347,7 +384,7 @@ def card_style_cards(s, d, lang="en"):
     from voxloom.operators import documents
     from voxloom.plans.documents import measured
 
-    return documents.style_cards(measured(_utts(s, d, lang), _words(s, d, lang), _parsed_once(s, d, lang), _items(s, d), lang), lang)
+    return documents.style_cards(measured(_utts(s, d, lang), _words(s, d, lang), _items(s, d), lang), lang)
 
 
 @query_by_language
@@ -355,7 +392,7 @@ def snk11_reports(s, d, lang="en"):
     from voxloom.operators import documents
     from voxloom.plans.documents import measured
 
-    return documents.reports(measured(_utts(s, d, lang), _words(s, d, lang), _parsed_once(s, d, lang), _items(s, d), lang), lang)
+    return documents.reports(measured(_utts(s, d, lang), _words(s, d, lang), _items(s, d), lang), lang)
 
 
 @query

@@ -1,4 +1,4 @@
-"""Media files of a folder: list, digest, duration (SRC1, SRC4, SRC5). Decoding and recognition are hooks (SRC2, SRC3, SRC10)."""
+"""Media files of a folder: list, digest, duration (SRC1, SRC4, SRC5); downloading, decoding and recognition as hooks (SRC2, SRC3, SRC10)."""
 
 from __future__ import annotations
 
@@ -22,9 +22,9 @@ def media_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sha256) of all files below a folder."""
+    """(path, sha256) of the media files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*MEDIA)).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def wav_seconds(head: bytes) -> float | None:
@@ -52,6 +52,46 @@ def durations(spark: SparkSession, folder: str) -> DataFrame:
     return wav.select("path", "content").mapInPandas(run, "path string, duration_s double")
 
 
+def ffmpeg_wav(source: str, target: str) -> None:
+    """Mono, 16 kHz, by the ffmpeg program of the machine."""
+    import subprocess
+
+    subprocess.run(["ffmpeg", "-v", "error", "-y", "-i", source, "-vn", "-ac", "1", "-ar", "16000", target], check=True, capture_output=True)
+
+
+def _tried(df: DataFrame, column: str, out: str, work: Callable[[str], str]) -> DataFrame:
+    """``df``'s column with what ``work`` makes of it, or the error it ends with; one failure stops no other."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for value in batch[column]:
+                try:
+                    rows.append((value, work(value), None))
+                except Exception as e:
+                    rows.append((value, None, f"{type(e).__name__}: {e}"))
+            yield frames.frame([column, out, "error"], rows)
+
+    return df.select(column).distinct().mapInPandas(run, f"{column} string, {out} string, error string")
+
+
+def fetched(sources: DataFrame, download: Callable[[str], str]) -> DataFrame:
+    """(source, path, error): addresses through a downloader that returns where it put the file; local paths pass through (SRC2)."""
+    return _tried(sources, "source", "path", lambda s: download(s) if "://" in s else s)
+
+
+def normalised(files: DataFrame, folder: str, convert: Callable[[str, str], None] = ffmpeg_wav) -> DataFrame:
+    """(path, audio_path, error): every file in the form that recognition reads, below ``folder`` (SRC3)."""
+    def work(path: str) -> str:
+        import hashlib
+        import os
+
+        target = os.path.join(folder, hashlib.sha256(path.encode()).hexdigest()[:24] + ".wav")
+        convert(path.removeprefix("file:"), target)
+        return target
+
+    return _tried(files, "path", "audio_path", work)
+
+
 def transcribed(recordings: DataFrame, backend: Callable[[], Callable[[str, str], dict]], schema: str) -> DataFrame:
     """Recordings through a speech recogniser made once per worker: (id, audio_path, language) -> rows of ``schema`` (SRC10, CTL11)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,11 +1,12 @@
 """A catalogue kept as files: speakers and recordings as JSON lines, transcripts as JSON, results as Parquet, JSON or text
-(SRC6-SRC9, SRC11, SRC14, SNK1-SNK6, CTL2-CTL4, CTL6)."""
+(SRC6-SRC9, SRC11, SRC12, SRC14, SNK1-SNK7, SNK10, CARD11, CTL2-CTL4, CTL6)."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
@@ -19,28 +20,96 @@ class CatalogError(Exception):
 
 
 class Store:
-    """Tables below a root folder. Every change writes a whole table and is atomic by the committer of the writer."""
+    """Tables below a root folder.
 
-    KINDS = {"speakers": schema.SPEAKER, "recordings": schema.RECORDING, "transcripts": schema.TRANSCRIPT, "utterances": schema.UTTERANCE, "annotations": schema.ANNOTATION}
+    A table is a folder of versions and a pointer to one of them. Replacing a table writes a new version beside the old one and
+    then moves the pointer in one step, so whoever reads, or starts again after a crash, finds the old table or the new one, whole.
+    """
+
+    KINDS = {
+        "speakers": schema.SPEAKER, "recordings": schema.RECORDING, "transcripts": schema.TRANSCRIPT, "utterances": schema.UTTERANCE, "annotations": schema.ANNOTATION,
+        "generations": schema.GENERATION, "cards": schema.CARD, "reports": schema.CARD, "annotated_chunks": schema.ANNOTATED_CHUNK,
+    }
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, kind: str) -> str:
-        return f"{self.root}/{kind}"
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _path(self, *parts: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def _current(self, kind: str) -> str | None:
+        """The folder of the version in force."""
+        pointer = self._path(kind, "_current")
+        files = pointer.getFileSystem(self._conf)
+        if not files.exists(pointer):
+            return None
+        stream = files.open(pointer)
+        try:
+            return f"{self.root}/{kind}/{stream.readLine()}"
+        finally:
+            stream.close()
+
+    def _point(self, kind: str, version: str) -> None:
+        fresh, pointer = self._path(kind, f"_next-{version}"), self._path(kind, "_current")
+        files = pointer.getFileSystem(self._conf)
+        stream = files.create(fresh, True)
+        stream.writeBytes(version + "\n")
+        stream.close()
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        qualified = files.makeQualified
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self._conf).rename(qualified(fresh), qualified(pointer), how)
 
     def read(self, kind: str) -> DataFrame:
         """A table; fields outside its schema are ignored, a table that was never written is empty."""
-        spark = self.spark
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(kind))
-        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return spark.createDataFrame([], self.KINDS[kind])
-        return spark.read.schema(self.KINDS[kind]).json(self._path(kind))
+        folder = self._current(kind)
+        if folder is None:
+            return self.spark.createDataFrame([], self.KINDS[kind])
+        return self.spark.read.schema(self.KINDS[kind]).json(folder)
 
     def write(self, kind: str, df: DataFrame, mode: str = "overwrite") -> None:
-        """Replacing a table that the new rows are read from needs them on disk first."""
-        rows = materialize(df, kind) if mode == "overwrite" else df
-        rows.write.mode(mode).json(self._path(kind))
+        """Replace a table, or add rows to it; added rows come into force when they are all written."""
+        folder = self._current(kind)
+        if mode == "append" and folder is not None:
+            df.write.mode("append").json(folder)
+            return
+        version = f"v-{uuid.uuid4().hex}"
+        df.write.json(f"{self.root}/{kind}/{version}")
+        self._point(kind, version)
+        if folder is not None:
+            old = self._jvm.org.apache.hadoop.fs.Path(folder)
+            old.getFileSystem(self._conf).delete(old, True)
+
+    def save_profile(self, lang: str, profile: DataFrame) -> None:
+        """The measured profiles of all speakers of a language, for later comparisons (SNK6)."""
+        kind, version = f"profiles-{lang}", f"v-{uuid.uuid4().hex}"
+        profile.write.parquet(f"{self.root}/{kind}/{version}")
+        self._point(kind, version)
+
+    def forget_profile(self, lang: str) -> None:
+        pointer = self._path(f"profiles-{lang}", "_current")
+        pointer.getFileSystem(self._conf).delete(pointer, False)
+
+    def profile(self, lang: str) -> DataFrame | None:
+        """The saved profiles of a language, None if there are none (SRC12)."""
+        folder = self._current(f"profiles-{lang}")
+        return None if folder is None else self.spark.read.parquet(folder)
+
+    def save_documents(self, kind: str, lang: str, made: DataFrame, force: bool = False) -> DataFrame:
+        """(speaker_id, document, fresh): cards or reports (speaker_id, document) are kept with the stamp of what was made. One that was
+        edited by hand since stays unless forced; those of other speakers and languages stay as they are (CARD11)."""
+        there = self.read(kind)
+        mine = there.where(F.col("lang") == lang).select("speaker_id", F.col("document").alias("old"), F.col("stamp").alias("old_stamp"))
+        both = made.join(mine, "speaker_id", "left")
+        untouched = F.col("old").isNull() | (F.sha2(F.col("old"), 256) == F.coalesce("old_stamp", F.sha2(F.col("document"), 256)))
+        fresh = F.lit(True) if force else untouched
+        rows = materialize(both.select("speaker_id", F.when(fresh, F.col("document")).otherwise(F.col("old")).alias("document"), F.when(fresh, F.sha2(F.col("document"), 256)).otherwise(F.col("old_stamp")).alias("stamp"), fresh.alias("fresh")), kind)
+        others = there.join(rows.select("speaker_id", F.lit(lang).alias("lang")), ["speaker_id", "lang"], "left_anti")
+        self.write(kind, others.unionByName(rows.select("speaker_id", F.lit(lang).alias("lang"), "document", "stamp")))
+        return rows.select("speaker_id", "document", "fresh")
 
     def add_speaker(self, name: str, id: str | None = None, description: str = "", languages: list[str] | None = None) -> str:
         id = id or X.slug(name)
@@ -73,7 +142,11 @@ class Store:
         marked = new.join(seen, ["speaker_id", "sha256"], "left").join(urls, ["speaker_id", "source"], "left")
         outcome = F.when(bad, "failed").when(F.col("again") | F.col("url"), "already there").otherwise("added")
         marked = materialize(marked.withColumn("outcome", outcome).withColumn("ord", F.monotonically_increasing_id()), "new-recordings")
-        fresh = marked.where("outcome = 'added'").dropDuplicates(["speaker_id", "sha256"])
+        # Of rows that share their content or their source inside the batch, the first is added.
+        nth = lambda key: F.row_number().over(Window.partitionBy("speaker_id", "outcome", key).orderBy("ord"))
+        content = marked.withColumn("outcome", F.when((F.col("outcome") == "added") & F.col("sha256").isNotNull() & (nth("sha256") > 1), "already there").otherwise(F.col("outcome")))
+        marked = materialize(content.withColumn("outcome", F.when((F.col("outcome") == "added") & F.col("source").isNotNull() & (nth("source") > 1), "already there").otherwise(F.col("outcome"))), "new-recordings")
+        fresh = marked.where("outcome = 'added'")
         ids = catalog.new_ids(fresh.select("speaker_id", "ord", "title"), there.select("speaker_id", "id")).select("speaker_id", "ord", "id")
         columns = [c.split()[0] for c in schema.RECORDING.split(", ")]
         self.write("recordings", fresh.join(ids, ["speaker_id", "ord"]).select(*columns), "append")
