@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
 from voxloom.functions.lexicon import LEXICONS
-from voxloom.plans.shared import materialize
+from voxloom.plans.shared import materialize, spread_out
 
 LEAST_WORDS_FOR_ABSENCE = 2000
 METRICS = "words recordings median long_share cv fragment_share negations share_full address_count address_per_1k preferences markers".split()
@@ -23,7 +23,8 @@ def profile(utts: DataFrame, words: DataFrame, tagged_rows: DataFrame, lang: str
     """A profile frame for the subjects in ``speaker_id`` of the given frames."""
     from voxloom.operators import discourse, lexical, register, rhythm, syntax
 
-    utts, words = materialize(utts, "utts"), materialize(words, "words")  # every group of measures reads them again
+    # Every group of measures reads them again; patterns are searched on all cores however small the table is.
+    utts, words = spread_out(materialize(utts, "utts"), "utt_id"), materialize(words, "words")
     sizes = materialize(lexical.totals(words), "totals")
     lengths = rhythm.length_stats(words).select("speaker_id", "median", "long_share", "cv")
     grammar = syntax.syntax_profile(tagged_rows).select("speaker_id", "fragment_share", "negations", "share_full")

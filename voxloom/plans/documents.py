@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
 from voxloom.operators import annotate, critic, discourse, lexical, register, rhetoric, rhythm, syntax
-from voxloom.plans.shared import materialize
+from voxloom.plans.shared import materialize, spread_out
 
 
 def measured(utts: DataFrame, words: DataFrame, annotations: DataFrame, lang: str, tagger=None) -> dict[str, DataFrame]:
-    utts, words = materialize(utts, "utts"), materialize(words, "words")  # read by a dozen branches each
+    utts, words = spread_out(materialize(utts, "utts"), "utt_id"), materialize(words, "words")  # read by a dozen branches each
     tagged = materialize(annotate.annotate(utts, lang, tagger or annotate.RuleTagger), "tagged")
     rows = materialize(syntax.syntax_rows(tagged, lang), "syntax")
     base, sizes = materialize(lexical.baseline(words), "baseline"), materialize(lexical.totals(words), "totals")

@@ -78,6 +78,11 @@ def spread_out(df: DataFrame, *keys: str) -> DataFrame:
     Only for plans without a shuffle. An input that small costs next to nothing to move; a larger one is left as it is read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if getattr(df, "_spread", False):
+        return df
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, *keys)
+    wide = df.repartition(cores, *keys)
+    wide._spread = True
+    wide._written_once = getattr(df, "_written_once", False)
+    return wide
