@@ -59,6 +59,14 @@ def test_same_looking_pairs(spark):
     assert look_same.same_looking_texts(spark.createDataFrame([], UTT)).count() == 0
 
 
+def test_a_large_group_is_cut_into_shares(spark, monkeypatch):
+    monkeypatch.setattr(look_same, "SHARE", 7)
+    forms = ["Hello", "Неllo", "Ｈello"]
+    rows = [(k, "r", k, forms[k % 3], NOW, None, None) for k in range(60)]
+    got = [tuple(r) for r in look_same.same_looking_texts(spark.createDataFrame(rows, UTT)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3}
+
+
 def test_quotes(spark):
     u = spark.createDataFrame([(1, "r", 0, "I саme here", NOW, None, None), (2, "r", 1, "I came here", NOW, None, None), (3, "r", 2, None, NOW, None, None)], UTT)
     a = "annotation_id long, recording_id string, utterances array<int>, quote string, text string"

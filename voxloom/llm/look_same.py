@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from voxloom.llm.canon import as_seen
 from voxloom.plans.shared import materialize, spread_out
 
+SHARE = 1000
+
 
 def same_looking_texts(utterances: DataFrame) -> DataFrame:
     """Pairs (first_id < second_id) of utterances of one recording that look the same but differ in code points.
@@ -24,10 +26,14 @@ def same_looking_texts(utterances: DataFrame) -> DataFrame:
         "seen-keys",
     )
     group = ["recording_id", "_k1", "_k2"]
-    mixed = keyed.groupBy(*group).agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).where("_lo <> _hi").select(*group)
-    left = keyed.join(mixed, group, "left_semi")
-    right = left.select(*group, F.col("utt_id").alias("_second"), F.col("_raw").alias("_other"))
-    pairs = left.join(right, group).where("_raw <> _other and utt_id < _second")
+    sizes = keyed.groupBy(*group).agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi")
+    # A group with many members is cut into shares: each of its rows goes to one on the left and to all on the right, so no task
+    # makes more than SHARE pairs for a row.
+    shares = F.ceil(F.col("_n") / SHARE).cast("int")
+    members = keyed.join(sizes.select(*group, shares.alias("_shares")), group)
+    left = members.withColumn("_share", F.pmod(F.xxhash64("utt_id"), F.col("_shares")).cast("int")).drop("_shares")
+    right = members.select(*group, F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"), F.col("utt_id").alias("_second"), F.col("_raw").alias("_other"))
+    pairs = left.join(right, [*group, "_share"]).where("_raw <> _other and utt_id < _second")
     return pairs.select(F.col("utt_id").alias("first_id"), F.col("_second").alias("second_id")).distinct()
 
 
